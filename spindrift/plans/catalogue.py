@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import extras, nested, relational
+
+_ALL = {**nested.REGISTRY, **relational.REGISTRY, **extras.REGISTRY}
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for name, (fn, _) in _ALL.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _ALL.items() if sql is not None}
