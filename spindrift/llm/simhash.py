@@ -212,16 +212,15 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     The smallest doc_id stays (nulls last); among rows that share it the smallest text hash, and one
     of rows alike in both.  Documents without a near duplicate always stay.
     """
-    th, keyed = free_name(docs, "text_hash"), docs
-    keyed = keyed.withColumn(th, F.xxhash64(words_text(F.col("text"))))
+    th, ki, kh, n = (free_name(docs, stem) for stem in ("text_hash", "kept_id", "kept_hash", "kept_times"))
+    keyed = docs.withColumn(th, F.xxhash64(words_text(F.col("text"))))
     found = near_duplicates(keyed.select("doc_id", "text", th), radius, ("doc_id", th))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col(th).alias("h"))
-    best = found.groupBy(F.coalesce("component_id", "fp").alias("c"), F.col("component_id").isNull().alias("o")).agg(F.min(order).alias("k"))
-    times = found.groupBy("doc_id", th).agg(F.count("*").alias("times"))
-    kept = best.select(F.col("k.i").alias("ki"), F.col("k.h").alias("kh")).distinct()
-    kept = kept.join(times, kept.ki.eqNullSafe(times.doc_id) & (kept.kh == times[th])).select("ki", "kh", "times")
-    kept = materialize(kept, "kept")
-    joined = keyed.join(kept, keyed.doc_id.eqNullSafe(kept.ki) & (keyed[th] == kept.kh))
-    single = joined.where("times = 1").select(*docs.columns)
-    again = joined.where("times > 1").dropDuplicates([th, "ki"]).select(*docs.columns)
+    group = F.coalesce("component_id", "fp").alias("c"), F.col("component_id").isNull().alias("o")
+    best = found.groupBy(*group).agg(F.min(order).alias("k")).select(F.col("k.i").alias(ki), F.col("k.h").alias(kh)).distinct()
+    times = found.groupBy("doc_id", th).agg(F.count("*").alias(n))
+    kept = materialize(best.join(times, best[ki].eqNullSafe(times.doc_id) & (best[kh] == times[th])).select(ki, kh, n), "kept")
+    joined = keyed.join(kept, keyed.doc_id.eqNullSafe(kept[ki]) & (keyed[th] == kept[kh]))
+    single = joined.where(F.col(n) == 1).select(*docs.columns)
+    again = joined.where(F.col(n) > 1).dropDuplicates([th, ki]).select(*docs.columns)
     return single.unionAll(again)
