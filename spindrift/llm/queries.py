@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, html_text, mixing, nndescent, packing, quality, simhash, urlfilter, vptree, warc
 from .common import table
+from .oracles import oracle_sql  # noqa: F401
 
 
 def PACK_TOKENIZER() -> str:  # noqa: N802
@@ -87,7 +88,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = (op1_near_vectors, op2_nearest, op3_html_text, op4_simhash, op5_quality, op6_chat, op7_url_filter, op8_warc, op9_mixing, op10_packing)
     return {f.__name__: f for f in found}
-
-
-def oracle_sql() -> dict:
-    return {}
