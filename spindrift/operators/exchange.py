@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import staged
+
 
 def route(key: Column, parts: int) -> Column:
     """The destination of a 64-bit key: first 8 bytes of SHA-256 over its big-endian bytes, mod parts.
@@ -52,12 +54,13 @@ def rebalance_by_size(df: DataFrame, order: Sequence[str], size: Column, target:
     """Rows in their order with a bucket number: each bucket starts a multiple of ``target`` on.
 
     The running size comes from range partitions: sums of whole partitions first, then within each,
-    so no window holds all rows.
+    so no window holds all rows.  The ranges are drawn by sampling, so their outcome is written once
+    and read by both passes.
     """
     if target < 1:
         raise ValueError("target is at least 1")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("__size", size.cast("long")).repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
+    ranged = staged(df.withColumn("__size", size.cast("long")).repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     return _running(ranged, order, "__size", "__part").withColumn(chunk, F.floor((F.col("__upto") - F.col("__size")) / F.lit(target)).cast("long")).drop("__size", "__part", "__upto")
 
 

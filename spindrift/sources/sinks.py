@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +32,22 @@ def write_result(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back.
+
+    What comes after sees one evaluation, also when executors are lost.  Where the session names no
+    folder, as on a single machine, a temporary one is set.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spindrift-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class PartialStore:
     """Per-leaf partials of a plan, kept under a folder, so a killed run resumes.
 
