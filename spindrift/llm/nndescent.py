@@ -109,7 +109,7 @@ def _forest(points: DataFrame, dim: int, n: int, seed: int, keep: int, threshold
     depth = max(0, int(np.ceil(np.log2(max(1, n / LEAF_ROWS)))))
     fitted = min(depth, int(np.log2(SAMPLE_ROWS)) - 2)
     extra = depth - fitted
-    drawn = points.orderBy(F.xxhash64("pid", F.lit(seed))).limit(SAMPLE_ROWS) if n > SAMPLE_ROWS else points
+    drawn = points.orderBy(F.xxhash64("pid", F.lit(seed))).limit(SAMPLE_ROWS)
     sample = unit(np.array([r[0] for r in drawn.select("v").toLocalIterator()]).reshape(-1, dim))
     rng = np.random.default_rng(seed)
     trees = [(grow_tree(sample, fitted, rng), rng.standard_normal((dim, extra))) for _ in range(TREES)]

@@ -167,7 +167,7 @@ def hamming_links(prints: DataFrame, fp: str = "fp", radius: int = RADIUS) -> Da
     """
     spark = prints.sparkSession
     n = prints.count()
-    drawn = prints.select(fp).orderBy(F.xxhash64(fp, F.lit(3))).limit(SAMPLE_ROWS) if n > SAMPLE_ROWS else prints.select(fp)
+    drawn = prints.select(fp).orderBy(F.xxhash64(fp, F.lit(3))).limit(SAMPLE_ROWS)
     sample = np.array([r[0] for r in drawn.toLocalIterator()], dtype=np.int64).view(np.uint64)
     nodes = build_tree(np.sort(sample), -(-n // SHARD_POINTS), radius)
 
