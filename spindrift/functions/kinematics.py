@@ -37,6 +37,17 @@ def add(*parts: Column) -> Column:
     return F.struct(s(px).alias("x"), s(py).alias("y"), s(pz).alias("z"), s(energy).alias("t"))
 
 
+def vector(p: Column) -> Column:
+    """One object as (x, y, z, t): do this once an object before combining many."""
+    return add(p)
+
+
+def total(*vectors: Column) -> Column:
+    """The sum of (x, y, z, t) vectors."""
+    s = lambda c: sum((v[c] for v in vectors[1:]), vectors[0][c])
+    return F.struct(*[s(c).alias(c) for c in "xyzt"])
+
+
 def mass_of(v: Column) -> Column:
     """Invariant mass of an (x, y, z, t) vector; a squared mass below 0 counts as 0."""
     m2 = v["t"] * v["t"] - v["x"] * v["x"] - v["y"] * v["y"] - v["z"] * v["z"]

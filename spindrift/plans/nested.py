@@ -84,8 +84,9 @@ def hist_pair_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     + hist_sql("hist_best_triple", SUM_AXIS, "v", "best"),
 )
 def hist_best_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = F.transform(A.triples(F.col("obj")), lambda t: K.add(t["a"], t["b"], t["c"]))
-    d = objects(spark, sf_dir).where(F.size("obj") >= 3).select(A.min_by(made, lambda v: F.abs(K.mass_of(v) - 172.5)).alias("v"))
+    d = objects(spark, sf_dir).where(F.size("obj") >= 3).select(F.transform("obj", K.vector).alias("vec"))
+    made = F.transform(A.triples(F.col("vec")), lambda t: K.total(t["a"], t["b"], t["c"]))
+    d = d.select(A.min_by(made, lambda v: F.abs(K.mass_of(v) - 172.5)).alias("v"))
     return _counts(d, Fill("hist_best_triple", SUM_AXIS, K.rint_to(K.pt_of(F.col("v")))))
 
 
@@ -119,12 +120,14 @@ def isolated_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lead_other_after_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     mu = A.with_field(F.filter("obj", lambda o: o["flag"] == "A"), "flavour", lambda o: F.lit(0))
     el = A.with_field(F.filter("obj", lambda o: o["flag"] == "R"), "flavour", lambda o: F.lit(1))
-    lep = F.transform(A.sort_by(A.joined(mu, el), lambda o: o["pt"], descending=True), lambda o, i: o.withField("k", i))
-    d = events(spark, sf_dir).select("met", "met_phi", lep.alias("lep")).where(F.size("lep") >= 3)
+    # no row filter on the way: a filter would be pushed below the projections and repeat their work;
+    # events without a pair or a remaining lepton come out null, which fills nothing
+    lep = F.transform(A.sort_by(A.joined(mu, el), lambda o: o["pt"], descending=True), lambda o, i: F.struct(o["pt"].alias("pt"), o["phi"].alias("phi"), o["flavour"].alias("flavour"), o["charge"].alias("charge"), i.alias("k"), K.vector(o).alias("v")))
+    d = events(spark, sf_dir).select("met", "met_phi", lep.alias("lep"))
     fits = F.filter(A.pairs(F.col("lep")), lambda p: (p["a"]["flavour"] == p["b"]["flavour"]) & (p["a"]["charge"] != p["b"]["charge"]))
-    d = d.withColumn("best", A.min_by(fits, lambda p: F.abs(K.pair_mass(p["a"], p["b"]) - 91.2))).where("best is not null")
-    rest = F.filter("lep", lambda o: (o["k"] != F.col("best.a.k")) & (o["k"] != F.col("best.b.k")))
-    d = d.withColumn("lead", A.first(rest)).where("lead is not null")
+    best = A.min_by(fits, lambda p: F.abs(K.mass_of(K.total(p["a"]["v"], p["b"]["v"])) - 91.2))
+    d = d.withColumn("best", F.when(F.size("lep") >= 3, best))
+    d = d.withColumn("lead", A.first(F.filter("lep", lambda o: (o["k"] != F.col("best.a.k")) & (o["k"] != F.col("best.b.k")))))
     mt = K.transverse_mass(F.col("met"), F.col("met_phi"), F.col("lead.pt"), F.col("lead.phi"))
     return _counts(d, Fill("lead_other_after_best_pair", SUM_AXIS, K.rint_to(mt)))
 
@@ -213,7 +216,9 @@ def diphoton_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     photons = F.filter("obj", lambda o: (o["flag"] != "N") & (o["pt"] > 18) & (eta(o) < 2.4) & ~((eta(o) > 1.4442) & (eta(o) < 1.566)))
     d = objects(spark, sf_dir).select("ev", "obj", photons.alias("pho")).where(F.size("pho") >= 2)
     made = F.transform(F.filter(A.pairs(F.col("pho"), ("lead", "sublead")), lambda p: p["lead"]["pt"] > 35), lambda p: p.withField("sum", K.add(p["lead"], p["sublead"])))
-    d = d.withColumn("best", A.min_by(made, lambda p: -K.pt_of(p["sum"]))).where("best is not null")
+    # a list of at most one, exploded: the choice is made once a row, and events without one go
+    chosen = A.drop_none(F.array(A.min_by(made, lambda p: -K.pt_of(p["sum"]))))
+    d = d.select("ev", "obj", F.explode(chosen).alias("best"))
     away = lambda o, leg: K.delta_r(o["eta"], o["phi"], F.col(f"best.{leg}.eta"), F.col(f"best.{leg}.phi")) > 0.4
     jets = F.transform(F.filter("obj", lambda o: (o["flag"] == "N") & (o["pt"] > 30) & away(o, "lead") & away(o, "sublead")), lambda o: o["pt"])
     d = d.withColumn("jets", jets)
