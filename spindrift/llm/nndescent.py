@@ -26,7 +26,7 @@ from .vectors import as_doubles, matrix, unit, usable
 
 THRESHOLD = 0.95
 NEIGHBOURS = 10
-TREES = 10
+TREES = 16
 LEAF_ROWS = 256
 #: Rows of the sample that places the hyperplanes of the forest.
 SAMPLE_ROWS = 16_384
