@@ -9,7 +9,7 @@ from ..functions import arrays as A
 from ..functions import kinematics as K
 from ..operators.hist import Fill, Regular, dense, fill
 from ..operators.reduce import collate, counters
-from ..operators.vary import Family, matrix, vary
+from ..operators.vary import Family, vary
 from ..sources.readers import read_table
 from .base import MET, OBJ, Registry, bin_sql, dphi_sql, events, hist_sql, isum, isum_sql, mass_sql, mets, objects, pt_sql, registered, rounded_sql
 
@@ -190,14 +190,14 @@ def variation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     families = [Family("jes", {"up": {"scale": 1.05}, "down": {"scale": 0.95}}), Family("w", {"up": {"wscale": 1.03}, "down": {"wscale": 0.97}})]
     d = vary(objects(spark, sf_dir), {"scale": 1.0, "wscale": 1.0}, families)
     jets = F.filter(A.with_field(F.col("obj"), "pt", lambda o: o["pt"] * F.col("scale")), lambda o: o["pt"] > 25)
-    d = d.select("variation", "wscale", jets.alias("jet")).where(F.size("jet") >= 4)
-    d = d.select("variation", A.num(F.filter("jet", lambda o: o["charge"] > 0)).alias("nb"), K.rint_to(A.total(F.transform("jet", lambda o: o["pt"]))).alias("ht"), A.product(F.transform("jet", lambda o: (0.95 + 0.1 * o["mass"] / 5) * F.col("wscale"))).alias("w"))
+    d = d.select("variation", "wscale", jets.alias("jet"))
+    nb, ht = A.num(F.filter("jet", lambda o: o["charge"] > 0)), K.rint_to(A.total(F.transform("jet", lambda o: o["pt"])))
+    w = A.product(F.transform("jet", lambda o: (0.95 + 0.1 * o["mass"] / 5) * F.col("wscale")))
+    # both outputs fill in one pass; whole multiples of 1/1000 keep the sums of weights exact
+    d = d.select("variation", F.size("jet").alias("nj"), nb.alias("nb"), ht.alias("ht"), F.rint(w * 1000.0).alias("w"))
     axis = Regular(40, 0.0, 800.0)
-
-    def output(test):
-        return lambda v: v.where(test).groupBy("variation", axis.index(F.col("ht")).alias("bin")).agg(F.count("*").alias("n"), isum(F.col("w"), 1000).alias("sumw_e3"))
-
-    return matrix(d, {"4j1b": output("nb = 1"), "4j2b": output("nb >= 2")}).select("output", "variation", "bin", "n", "sumw_e3")
+    outputs = [Fill(name, axis, F.col("ht"), weight=F.col("w"), where=(F.col("nj") >= 4) & test) for name, test in (("4j1b", F.col("nb") == 1), ("4j2b", F.col("nb") >= 2))]
+    return fill(d, outputs, by=["variation"]).select(F.col("hist").alias("output"), "variation", "bin", "n", F.col("sumw").cast("long").alias("sumw_e3"))
 
 
 @registered(

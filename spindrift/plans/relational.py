@@ -123,9 +123,10 @@ _RANGES = "SELECT user_id, min(event_id) AS lo, min(event_id) + (user_id % 7) *
 def range_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     ends = e.groupBy("user_id").agg(F.min("event_id").alias("a"), F.max("event_id").alias("z"))
-    first = ends.select("user_id", F.col("a").alias("lo"), (F.col("a") + F.col("user_id") % 7 * 300).alias("hi"))
-    last = ends.select("user_id", (F.col("z") - F.col("user_id") % 5 * 100).alias("lo"), F.col("z").alias("hi"))
-    return J.range_semi_join(e, first.unionAll(last), "user_id", "event_id").select("event_id", "user_id", "event_type")
+    first = F.struct(F.col("a").alias("lo"), (F.col("a") + F.col("user_id") % 7 * 300).alias("hi"))
+    last = F.struct((F.col("z") - F.col("user_id") % 5 * 100).alias("lo"), F.col("z").alias("hi"))
+    ranges = ends.select("user_id", F.inline(F.array(first, last)))
+    return J.range_semi_join(e, ranges, "user_id", "event_id").select("event_id", "user_id", "event_type")
 
 
 def _route_sql(key: str, parts: int) -> str:

@@ -15,7 +15,7 @@ from spindrift.operators import join as J
 from spindrift.operators.externals import External, binned_lookup, combine_leaves, map_leaves, retrying
 from spindrift.operators.hist import Fill, Regular, dense, fill, write_json
 from spindrift.operators.reduce import collate, counters, finalize, spend_failures, tree_fold, tree_fold_levels
-from spindrift.operators.vary import Family, vary
+from spindrift.operators.vary import Family, matrix, vary
 from spindrift.plans import control
 from spindrift.sources.readers import from_memory, register_source, step_bounds, step_of, warn_few_tasks, with_file_row
 from spindrift.sources.sinks import PartialStore, write_parts, write_result
@@ -238,6 +238,15 @@ def test_variations_are_siblings(spark):
         vary(df, {"s": 1.0}, [Family("f", {"up": {"t": 1.0}})])
 
 
+def test_matrix_tags_each_output(spark):
+    df = vary(spark.range(4), {"s": 1.0}, [Family("f", {"up": {"s": 2.0}})])
+    sums = lambda test: lambda v: v.where(test).groupBy("variation").agg(F.sum(F.col("id") * F.col("s")).alias("t"))
+    got = {(r["output"], r["variation"]): r["t"] for r in matrix(df, {"all": sums("true"), "odd": sums("id % 2 = 1")}).collect()}
+    assert got == {("all", "nominal"): 6.0, ("all", "f_up"): 12.0, ("odd", "nominal"): 4.0, ("odd", "f_up"): 8.0}
+    with pytest.raises(ValueError):
+        matrix(df, {})
+
+
 def test_user_code_budget_and_fold(spark):
     df = spark.range(40).select((F.col("id") % 8).alias("leaf"), F.col("id").alias("v"))
 
