@@ -13,7 +13,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def test_stages(spark, sf_dir):
-    assert entry.queries()["pipeline"] is corpus_pipeline.run and len(corpus_pipeline.STAGES) == 4
+    assert entry.queries()["pipeline"].__wrapped__ is corpus_pipeline.run and len(corpus_pipeline.STAGES) == 4
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     (_, good), (_, dedup), (_, mix), (_, pack) = corpus_pipeline.STAGES
     scores = {r.doc_id: r.predicted for r in quality.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()}
