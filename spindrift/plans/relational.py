@@ -14,7 +14,7 @@ from ..operators import join as J
 from ..operators.externals import External, binned_lookup, combine_leaves, map_leaves
 from ..operators.reduce import spend_failures, tree_fold, tree_fold_levels
 from ..sources.readers import read_table, step_of, with_leaf
-from ..sources.sinks import parts_and_totals
+from ..sources.sinks import PartialStore, parts_and_totals, shared_path, write_parts
 from . import control
 from .base import Registry, isum, isum_sql, registered
 
@@ -201,6 +201,27 @@ def parts_and_totals_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts_and_totals(d, "dataset", "part", [F.count("*").alias("n"), isum(F.col("l_quantity")).alias("q_e4")])
 
 
+@registered(REGISTRY, f"SELECT l_returnflag AS dataset, CAST(l_orderkey // 2000 AS BIGINT) AS leaf_id, count(*) AS rows, {isum_sql('l_quantity')} AS q_e4 FROM lineitem GROUP BY 1, 2")
+def part_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written by dataset and leaf, with each part's own sums as its sidecar."""
+    d = with_leaf(read_table(spark, sf_dir, "lineitem"), "l_orderkey", 2000).withColumnRenamed("l_returnflag", "dataset")
+    d = d.select("dataset", "leaf_id", "l_orderkey", "l_quantity").repartition("dataset", "leaf_id")
+    summary = write_parts(d, shared_path(spark, "parts"), ["dataset", "leaf_id"], [isum(F.col("l_quantity")).alias("q_e4")])
+    return summary.select("dataset", "leaf_id", "rows", "q_e4")
+
+
+@registered(REGISTRY, f"SELECT l_orderkey // 500 AS leaf, {isum_sql('l_quantity')} AS q_e4 FROM lineitem GROUP BY 1")
+def resumed_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that stops after a third of its leaves and is resumed from the stored partials."""
+    d = with_leaf(read_table(spark, sf_dir, "lineitem"), "l_orderkey", 500, "leaf")
+    leaves, schema = d.select("leaf").distinct(), "leaf long, q_e4 long"
+    store = PartialStore(spark, shared_path(spark, "store"), "quantity by leaf of 500 orders")
+    process = lambda todo: d.join(todo, "leaf", "left_semi").groupBy("leaf").agg(isum(F.col("l_quantity")).alias("q_e4"))
+    store.add(process(leaves.where("leaf % 3 = 0")))
+    store.add(process(store.missing(leaves, schema)))
+    return store.load(schema)
+
+
 def _read_props(group: pa.Table) -> int:
     """The sum of k over the leaf's records; leaves that hold a ``k`` of 13 fail, on purpose."""
     total = 0

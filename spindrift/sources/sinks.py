@@ -32,20 +32,23 @@ def write_result(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back.
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder of ``spark.checkpoint.dir``, which all executors share.
 
-    What comes after sees one evaluation, also when executors are lost.  Where the session names no
-    folder, as on a single machine, a temporary one is set.
+    Where the session names no folder, as on a single machine, a temporary one is set.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: one evaluation, also when executors are lost."""
+    path = shared_path(df.sparkSession, "staged")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class PartialStore:
