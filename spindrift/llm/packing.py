@@ -9,6 +9,8 @@ at powers of two, whose sequences need no padding.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -29,20 +31,24 @@ GROUP_DOCS = 4_096
 #: A bin under this share of the width is cut at powers of two.
 FULL_ENOUGH = 0.97
 _CACHE_WORDS = 400_000
+_DOUBLE_MARK = re.compile(r"[.,](?<=[\W_].) ")
+#: Texts encoded at once, so that new words are learnt together.
+_TEXTS = 64
 _PLAIN_MARKS = ".,;:!?%*#$&|()"
 _PAST_LATIN = "\u0250"
 
 
 @lru_cache(maxsize=4)
-def word_encoder(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids as little-endian uint16 bytes.
+def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """A function from texts to the ids of each, as little-endian uint16 bytes.
 
     The tokenizer splits at white space before it merges, so the ids of a text are those of its
     runs between ASCII white space, one after another.  Runs are remembered up to a bound.  A new
-    run of Latin letters with plain punctuation behind is looked up as those two parts, in any
-    letter case, since the tokenizer lower-cases and splits there too; new parts are encoded
-    together and told apart by their word-end marks.  Other runs are encoded as they are.  One
-    encoder serves all tasks of a worker process.
+    run of Latin letters with plain punctuation behind is looked up as those two parts, in lower
+    case, since the tokenizer lower-cases and splits there too; new parts are encoded together and
+    told apart by their word-end marks.  Other runs are encoded as they are.  A text of Latin-1
+    letters is lower-cased and parted from its stops and commas at once.  One encoder serves all
+    tasks of a worker process.
     """
     from tokenizers import Tokenizer
 
@@ -50,62 +56,76 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     coder.encode_special_tokens = False
     ends = np.zeros(coder.get_vocab_size(), bool)
     ends[[i for token, i in coder.get_vocab().items() if token.endswith("</w>")]] = True
+    # for words of a-z the steps before the merges change nothing: the same merges without them
+    bare = Tokenizer.from_str(json.dumps(json.loads(coder.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
     seen: dict[str, bytes] = {"": b""}
     parts: dict[str, bytes] = {"": b""}
 
     def separately(items: list[str]) -> list[bytes]:
         return [np.array(got.ids, dtype="<u2").tobytes() for got in coder.encode_batch_fast(items, add_special_tokens=False)]
 
-    def learn(runs: list[str]) -> None:
-        if len(seen) > _CACHE_WORDS:
-            seen.clear()
-            seen[""] = b""
-        if len(parts) > _CACHE_WORDS:
-            parts.clear()
-            parts[""] = b""
-        plain, odd, fresh = [], [], {}
-        for run in dict.fromkeys(runs):
-            if run not in seen:
-                low = run.lower()
-                body = low.rstrip(_PLAIN_MARKS)
-                if not body or (body.isalpha() and max(body) < _PAST_LATIN):
-                    tail = low[len(body) :]
-                    plain.append((run, body, tail))
-                    if body not in parts:
-                        fresh[body] = None
-                    if tail not in parts:
-                        fresh[tail] = None
-                else:
-                    odd.append(run)
-        if fresh:
-            ids = np.array(coder.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, dtype="<u2")
-            cuts = np.flatnonzero(ends[ids]) + 1
-            if len(cuts) == len(fresh):
-                raw, at = ids.tobytes(), 0
-                for part, cut in zip(fresh, (2 * cuts).tolist()):
-                    parts[part] = raw[at:cut]
-                    at = cut
+    def together(items: list[str], by: Tokenizer) -> list[bytes]:
+        if not items:
+            return []
+        ids = np.array(by.encode_batch_fast([" ".join(items)], add_special_tokens=False)[0].ids, dtype="<u2")
+        cuts = (2 * np.flatnonzero(ends[ids]) + 2).tolist()
+        if len(cuts) != len(items):
+            return separately(items)
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *cuts], cuts)]
+
+    def learn(runs: set[str]) -> None:
+        for known in (seen, parts):
+            if len(known) > _CACHE_WORDS:
+                known.clear()
+                known[""] = b""
+        fresh = runs.difference(seen)
+        words = [r for r in fresh if r.isascii() and r.isalpha() and r.islower()]
+        seen.update(zip(words, together(words, bare)))
+        composed, odd, missing = [], [], set()
+        for run in fresh.difference(words):
+            low = run.lower()
+            body = low.rstrip(_PLAIN_MARKS)
+            if not body or (body.isalpha() and max(body) < _PAST_LATIN):
+                tail = low[len(body) :]
+                composed.append((run, body, tail))
+                missing.update((body, tail))
             else:
-                parts.update(zip(fresh, separately(list(fresh))))
-        for run, body, tail in plain:
+                odd.append(run)
+        new = list(missing.difference(parts))
+        parts.update(zip(new, together(new, coder)))
+        for run, body, tail in composed:
             seen[run] = parts[body] + parts[tail]
         if odd:
             seen.update(zip(odd, separately(odd)))
 
-    def encode(text: str) -> bytes:
+    def split(text: str) -> list[str]:
         for space in "\t\n\v\f\r":
             if space in text:
                 text = text.replace(space, " ")
-        runs = text.split(" ")
-        try:
-            return b"".join([seen[r] for r in runs])
-        except KeyError:
-            learn(runs)
-            return b"".join([seen[r] for r in runs])
+        if "<|" not in text and _is_latin1(text):
+            text = text.lower()
+            if not _DOUBLE_MARK.search(text):
+                text = text.replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
+
+    def encode(texts: list[str]) -> list[bytes]:
+        runs = [split(text) for text in texts]
+        learn(set().union(*runs))
+        known = seen.__getitem__
+        return [b"".join(map(known, r)) for r in runs]
 
     return encode
 
 
+def _is_latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def crc(ids: np.ndarray) -> int:
     """CRC-32 of ids as little-endian unsigned 32-bit numbers."""
     return zlib.crc32(ids.astype("<u4").tobytes())
@@ -215,8 +235,9 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, end_id: int =
         last = np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + last
+            coded = (ids for at in range(0, batch.num_rows, _TEXTS) for ids in encode(batch.column(1).slice(at, _TEXTS).to_pylist()))
+            for doc, ids in zip(batch.column(0).to_pylist(), coded):
+                ids += last
                 n = len(ids) // 2
                 for at in range(0, n, width):
                     for column, value in zip(out, (doc, at, min(width, n - at), n, ids[2 * at : 2 * (at + width)])):

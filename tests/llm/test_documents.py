@@ -17,6 +17,7 @@ from spindrift.llm import mixing, packing, quality, queries, simhash
 from spindrift.llm.unionfind import merge_labels
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+CODER = Tokenizer.from_file(TOKENIZER)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, times int, component_id string"
 
 
@@ -210,8 +211,8 @@ def test_mixing_on_odd_documents(spark):
 @given(st.text(alphabet="aB'sé .,_%-\t\n 日<|>endoftx5", max_size=40))
 @settings(max_examples=400, deadline=None)
 def test_word_encoder_is_the_tokenizer(text):
-    ids = np.frombuffer(packing.word_encoder(TOKENIZER)(text), "<u2").tolist()
-    assert ids == Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids if text else ids == []
+    ids = np.frombuffer(packing.word_encoder(TOKENIZER)([text])[0], "<u2").tolist()
+    assert ids == CODER.encode(text, add_special_tokens=False).ids if text else ids == []
 
 
 def test_first_fit_decreasing():
@@ -233,8 +234,7 @@ def test_first_fit_decreasing():
 
 
 def check_packing(docs, packed, width=4096):
-    coder = Tokenizer.from_file(TOKENIZER)
-    ids = [(r.doc_id, [*coder.encode(r.text or "", add_special_tokens=False).ids, 2]) for r in docs]
+    ids = [(r.doc_id, [*CODER.encode(r.text or "", add_special_tokens=False).ids, 2]) for r in docs]
     wanted = Counter((i, len(x)) for i, x in ids)
     pieces = defaultdict(list)
     for r in packed:
