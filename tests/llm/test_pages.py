@@ -92,6 +92,14 @@ def test_shared_article_passages_stay_but_site_wide_notices_go():
     assert all(notice not in t for t in got) and passage in got[0] and passage in got[1]
 
 
+def test_unique_text_beside_an_article_stays():
+    menu = "Home News Sport Weather Travel Money About Us"
+    lead = lambda i: f"lead of page {i} in few words l{i}a l{i}b l{i}c"
+    body = lambda i: f"body of page {i} " + " ".join(f"b{i}x{k}" for k in range(30))
+    pages = [html_text.page_blocks(f"<div>{menu}</div><article><p>{lead(i)}</article><div>{body(i)}</div>") for i in range(4)]
+    assert html_text.main_texts(pages) == [f"{lead(i)}\n{body(i)}" for i in range(4)]
+
+
 def plain_parts(url):
     if url is None or "://" not in url:
         return "", ""
