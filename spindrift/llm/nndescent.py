@@ -3,11 +3,12 @@
 Equal vectors are one point.  A forest of random-projection trees gives each point a first list of
 neighbours; then rounds of a neighbours-of-neighbours join refine the lists: every point's list is
 brought together with its vectors, and members that are closer to each other than the worst of
-their own lists are exchanged.  Edges at or above the threshold, with a spanning link where a list
-is saturated (all of it above the threshold), give components.  Saturated lists are then enlarged
-to the whole component, compared exactly in blocks, so no link within a component is lost however
-large it is.  A bounded sample is held against all points to audit recall; while it finds a missed
-link, the forest is enlarged and the rounds repeated.
+their own lists are exchanged.  Edges at or above the threshold, kept or not in a list, give
+components; a leaf reports a forest that spans all its links, so a lone link between two groups is
+not lost where the lists of both ends are saturated (all of them above the threshold).  Saturated
+lists are then enlarged to the whole component, compared exactly in blocks, so no link within a
+component is lost however large it is.  A bounded sample is held against all points to audit
+recall; while it finds a missed link, the forest is enlarged and the rounds repeated.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import default_parallelism, materialize, require
 from .components import connected_components
-from .unionfind import merge_labels
+from .unionfind import spanning_forest
 from .vectors import as_doubles, matrix, unit, usable
 
 THRESHOLD = 0.95
@@ -73,7 +74,7 @@ def leaf_of(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int) -> n
 
 
 def leaf_edges(pid: np.ndarray, x: np.ndarray, keep: int, threshold: float, most_rows: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, cosine) of each row's nearest in its leaf, and spanning links of saturated rows.
+    """(a, b, cosine) of each row's nearest in its leaf, and a forest that spans the leaf's links.
 
     A leaf that came out too large is split further at medians of random projections.
     """
@@ -92,16 +93,9 @@ def leaf_edges(pid: np.ndarray, x: np.ndarray, keep: int, threshold: float, most
         k = min(keep, len(idx) - 1)
         top = np.argpartition(-s, k - 1, axis=1)[:, :k]
         yield np.repeat(pid[idx], k), pid[idx[top]].ravel(), np.take_along_axis(s, top, 1).ravel()
-        a, b = np.nonzero(s >= threshold)
-        labels = merge_labels(np.arange(len(idx)), a, b)
-        far = np.flatnonzero(labels != np.arange(len(idx)))
-        # a link along the forest: the nearest row of the same component with a smaller place
-        if len(far):
-            lower = np.where((labels[None, :] == labels[far, None]) & (np.arange(len(idx))[None, :] < far[:, None]), s[far], -2.0)
-            best = lower.argmax(axis=1)
-            value = lower[np.arange(len(far)), best]
-            good = value >= threshold
-            yield pid[idx[far[good]]], pid[idx[best[good]]], value[good]
+        a, b = np.nonzero(np.triu(s >= threshold, 1))
+        link = spanning_forest(len(idx), a, b)
+        yield pid[idx[a[link]]], pid[idx[b[link]]], s[a[link], b[link]]
 
 
 def _forest(points: DataFrame, dim: int, n: int, seed: int, keep: int, threshold: float) -> DataFrame:
@@ -142,8 +136,12 @@ def _best(edges: DataFrame, keep: int) -> DataFrame:
     return one.withColumn("r", F.row_number().over(order)).where(F.col("r") <= keep).drop("r")
 
 
-def _exchange(lists: DataFrame, points: DataFrame, dim: int) -> DataFrame:
-    """New edges of one neighbours-of-neighbours join over the lists."""
+def _exchange(lists: DataFrame, points: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """New edges of one neighbours-of-neighbours join over the lists.
+
+    They are those that better a list, and links between members that do not both link with the
+    row itself, whether or not their lists are saturated.
+    """
     vectors = points.select("pid", "v")
     worst = lists.groupBy("a").agg(F.min("sim").alias("worst")).withColumnRenamed("a", "pid")
     rich = vectors.join(worst, "pid", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
@@ -153,7 +151,7 @@ def _exchange(lists: DataFrame, points: DataFrame, dim: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
-                near = batch.slice(start, 1024).column(0)
+                near, of = batch.slice(start, 1024).column(1), batch.slice(start, 1024).column(0).to_numpy()
                 sizes = np.diff(near.offsets.to_numpy())
                 flat = near.flatten()
                 b, worst = flat.field("b").to_numpy(zero_copy_only=False), flat.field("worst").to_numpy(zero_copy_only=False)
@@ -165,10 +163,15 @@ def _exchange(lists: DataFrame, points: DataFrame, dim: int) -> DataFrame:
                 s = padded @ padded.transpose(0, 2, 1)
                 s[:, np.arange(most), np.arange(most)] = -2.0
                 s[np.broadcast_to((ids < 0)[:, None, :], s.shape)] = -2.0
-                g, i, j = np.nonzero(s > limit[:, :, None])
+                here = ids == of[:, None]
+                with_row = here | (np.take_along_axis(s, here.argmax(axis=1)[:, None, None], axis=1)[:, 0] >= threshold)
+                apart = (s >= threshold) & ~(with_row[:, :, None] & with_row[:, None, :])
+                g, i, j = np.nonzero((s > limit[:, :, None]) | apart)
+                own = ids[g, i] >= 0
+                g, i, j = g[own], i[own], j[own]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[g, i]), pa.array(ids[g, j]), pa.array(s[g, i, j])], names=["a", "b", "sim"])
 
-    return around.select("near").mapInArrow(run, _EDGE)
+    return around.select("a", "near").mapInArrow(run, _EDGE)
 
 
 def _audit(points: DataFrame, dim: int, labels: DataFrame, threshold: float, seed: int) -> DataFrame:
@@ -253,7 +256,10 @@ def _solve(points: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
         pool = links if edges is None else edges.unionAll(links)
         lists = materialize(_best(pool, NEIGHBOURS), "lists")
         for _ in range(ROUNDS):
-            lists = materialize(_best(lists.unionAll(_exchange(lists, points, dim)), NEIGHBOURS), "lists")
+            fresh = materialize(_exchange(lists, points, dim, threshold), "exchange")
+            lists = materialize(_best(lists.unionAll(fresh), NEIGHBOURS), "lists")
+            # a link that a saturated list has no place for still joins components
+            pool = pool.unionAll(fresh.where(F.col("sim") >= threshold))
         strong = lists.unionAll(pool).where(F.col("sim") >= threshold).select("a", "b", "sim").distinct()
         edges = materialize(strong, "strong")
         labels = materialize(connected_components(edges, "a", "b").withColumnRenamed("node", "pid"), "labels")

@@ -63,6 +63,18 @@ def test_large_groups_are_counted_whole(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (int(s[i].sum()), int(labels[i]), bool(labels[i] == i)) for i in range(len(u))}
 
 
+def test_a_lone_link_between_saturated_groups_is_found(spark):
+    # a group about 0.5 degrees, its outpost at 9; a group about 35.5, its outpost at 27: one link, 18 degrees long
+    angles = np.radians([*np.linspace(0, 1, 12), 9, *np.linspace(35, 36, 12), 27])
+    x = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    a, b, sim = (np.concatenate(c) for c in zip(*nndescent.leaf_edges(np.arange(len(x)), x, 5, 0.95, 1024, np.random.default_rng(0))))
+    strong = sim >= 0.95
+    assert not merge_labels(np.arange(len(x)), a[strong], b[strong]).any()
+    rows = list(enumerate(x.tolist()))
+    got = nndescent.near_duplicates(vectors_of(spark, rows)).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == brute(rows)
+
+
 @pytest.mark.parametrize("factor", [1.0, 0.8])
 def test_tree_against_brute_force(factor):
     rng = np.random.default_rng(1)
