@@ -93,6 +93,15 @@ def join_dup_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.join(left, right, ["k"]).groupBy("nation").agg(F.count("*").alias("n"))
 
 
+@registered(REGISTRY, "SELECT a.c_nationkey AS nation, count(*) AS n FROM customer a, customer b GROUP BY a.c_nationkey")
+def join_dup_skew_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """join_dup_skew over all customers: both sides are counted by key first, so no pair is made."""
+    c = read_table(spark, sf_dir, "customer")
+    left = c.select(F.lit(7).alias("k"), F.col("c_nationkey").alias("nation")).groupBy("k", "nation").agg(F.count("*").alias("here"))
+    right = c.select(F.lit(7).alias("k")).groupBy("k").agg(F.count("*").alias("there"))
+    return J.join(left, right, ["k"]).groupBy("nation").agg(F.sum(F.col("here") * F.col("there")).alias("n"))
+
+
 @registered(REGISTRY, f"SELECT c_mktsegment AS segment, count(*) AS n, {isum_sql('o_totalprice', 100)} AS price_e2 FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment")
 def join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment")

@@ -14,3 +14,8 @@ def test_query_matches_its_oracle(spark, sf_dir, name):
         oracle.compare(spark, sf_dir, QUERIES[name], SQL[name])
     else:
         assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_skew_join_counts_all_customers(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    assert sum(r.n for r in QUERIES["join_dup_skew_whole"](spark, sf_dir).collect()) == n * n
