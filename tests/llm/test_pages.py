@@ -100,6 +100,17 @@ def test_unique_text_beside_an_article_stays():
     assert html_text.main_texts(pages) == [f"{lead(i)}\n{body(i)}" for i in range(4)]
 
 
+def test_near_copies_without_an_article_element_keep_their_text():
+    menu, end = "Home News Sport Weather Travel Money About Us", "All rights reserved by the example press group"
+    story = lambda i: [f"Story {i} paragraph {n} " + " ".join(f"s{i}n{n}x{k}" for k in range(30)) for n in range(4)]
+    dated = [["Printed on the first of May", *story(0)], ["Seen again on a day in June", *story(0)], [*story(0)[:3], "another last paragraph of other words " + " ".join(f"o{k}" for k in range(20))]]
+    bodies = [*dated, story(1), story(2)]
+    pages = [[(False, t) for t in (menu, *body, end)] for body in bodies]
+    assert html_text.main_texts(pages) == ["\n".join(b) for b in bodies]
+    alone = [[(False, t) for t in body] for body in dated[:2]]
+    assert html_text.main_texts(alone) == ["\n".join(b) for b in dated[:2]]
+
+
 def plain_parts(url):
     if url is None or "://" not in url:
         return "", ""
