@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import rebalance_by_size
+
 
 @dataclass(frozen=True)
 class External:
@@ -88,10 +90,8 @@ def combine_leaves(partials: DataFrame, combine: Callable, empty: Callable[[], o
     n = rows.count()
     if not n:
         return empty()
-    from pyspark.sql import Window
-
-    # dense positions without one large window: leaves are few against rows, but may still be many
-    placed = rows.withColumn("pos", F.row_number().over(Window.orderBy("leaf")) - 1) if n <= 100_000 else rows.select("value", F.col("leaf").alias("pos"))
+    # dense positions at every number of leaves, without one window over all
+    placed = rebalance_by_size(rows, ["leaf"], F.lit(1), 1, "pos").select("value", "pos")
     level = fan.bit_length() - 1
     width = 1 << level
 

@@ -1,6 +1,8 @@
 """Golden values and edge cases of the engine's operators."""
 
+import hashlib
 import math
+import pickle
 import threading
 from collections import Counter
 
@@ -367,3 +369,13 @@ def test_staged_join_example(spark):
     a, b = spark.createDataFrame([(1, 10.0), (1, 20.0), (2, 30.0)], "run int, met double"), spark.createDataFrame([(1, 0.9), (2, 1.1)], "run int, w double")
     got = J.join(a.withColumn("met", F.col("met") * 2), b, ["run"]).select((F.col("met") * F.col("w")).alias("v")).collect()
     assert sorted(round(r[0], 6) for r in got) == [18.0, 36.0, 66.0]
+
+
+def test_many_sparse_leaves_fold_in_the_fixed_tree(spark):
+    both = lambda a, b: hashlib.md5(a + b).digest()
+    n = 100_001
+    leaves = [i.to_bytes(8, "big") for i in range(n)]
+    rows = spark.createDataFrame(pa.table({"leaf": pa.array([3 * i // 2 for i in range(n)]), "value": pa.array([pickle.dumps(v) for v in leaves])}))
+    while len(leaves) > 1:
+        leaves = [both(*leaves[i : i + 2]) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
+    assert combine_leaves(rows, both, bytes) == leaves[0]
