@@ -37,3 +37,13 @@ def unit(x: np.ndarray) -> np.ndarray:
         return x
     x = x / np.exp2(np.floor(np.log2(np.abs(x).max(axis=1, keepdims=True))))
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def as_floats(df: DataFrame, vector: str = "embedding") -> Column:
+    """The vector with single-precision components where the column holds such, else double ones.
+
+    -0.0 becomes 0.0, so equal vectors are alike.
+    """
+    require(df, vector)
+    kind = "float" if df.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    return F.transform(F.col(vector), lambda x: x.cast(kind) + F.lit(0.0).cast(kind))

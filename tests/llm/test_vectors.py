@@ -48,33 +48,93 @@ def test_near_vectors_on_odd_rows(spark):
     assert nndescent.near_duplicates(vectors_of(spark, [(1, None)])).collect() == [(1, 0, 1, True)]
 
 
-def test_large_groups_are_counted_whole(spark, monkeypatch):
-    rng = np.random.default_rng(2)
-    centre = rng.standard_normal((3, 16))
-    x = np.concatenate([centre[0] + 0.05 * rng.standard_normal((150, 16)), centre[1] + 0.12 * rng.standard_normal((60, 16)), rng.standard_normal((90, 16)), np.repeat(centre[2:], 20, axis=0)])
-    rows = [(i, v) for i, v in enumerate(x.astype("f4").astype(float).tolist())]
-    monkeypatch.setattr(nndescent, "BLOCK_ROWS", 40)
-    monkeypatch.setattr(nndescent, "LEAF_ROWS", 32)
-    got = nndescent.near_duplicates(vectors_of(spark, rows).repartition(3)).collect()
-    u = unit(np.array([e for _, e in rows]))
-    s = u @ u.T >= 0.95
+def turned(u, degrees, rng):
+    """Rows ``degrees`` away from the unit rows ``u``, each in a direction of its own."""
+    w = rng.standard_normal(u.shape)
+    w = unit(w - (w * u).sum(axis=1, keepdims=True) * u)
+    angle = np.radians(degrees)[:, None]
+    return np.cos(angle) * u + np.sin(angle) * w
+
+
+def truth(x, threshold=0.95):
+    u = unit(np.asarray(x, float))
+    s = u @ u.T >= threshold
     np.fill_diagonal(s, False)
     labels = merge_labels(np.arange(len(u)), *np.nonzero(s))
-    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (int(s[i].sum()), int(labels[i]), bool(labels[i] == i)) for i in range(len(u))}
+    return {i: (int(d), int(c), bool(c == i)) for i, (d, c) in enumerate(zip(s.sum(axis=1), labels))}
+
+
+def planted(rng, dim=32, pairs=400, field=800):
+    """Lone pairs near the threshold in a random field, groups, a tight and a loose large one, copies."""
+    one = unit(rng.standard_normal((pairs, dim)))
+    centres = unit(rng.standard_normal((14, dim)))
+    groups = turned(np.repeat(centres[:12], 25, axis=0), np.full(300, 9.0), rng)
+    tight = turned(np.repeat(centres[12:13], 700, axis=0), rng.uniform(1, 5, 700), rng)
+    loose = turned(np.repeat(centres[13:], 600, axis=0), rng.uniform(8, 14, 600), rng)
+    x = np.concatenate([one, turned(one, rng.uniform(12, 18, pairs), rng), rng.standard_normal((field, dim)), groups, tight, loose])
+    x = np.concatenate([x, x[5:9], x[-3:] * 2])
+    return x[rng.permutation(len(x))].astype("f4")
+
+
+def solve(spark, x, **options):
+    rows = vectors_of(spark, [(i, v) for i, v in enumerate(x.astype(float).tolist())]).repartition(3)
+    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nndescent.near_duplicates(rows, **options).collect()}
+
+
+def test_rounds_find_planted_links_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "SHARD_ROWS", 200)
+    monkeypatch.setattr(nndescent, "FAN", 8)  # so shards take two levels of trees
+    monkeypatch.setattr(nndescent, "BLOCK_ROWS", 100)
+    x, report = planted(np.random.default_rng(2)), {}
+    expected = truth(x)
+    assert solve(spark, x, report=report) == expected
+    assert report[32]["recall"] > 0.99
+    # without rounds the first leaves miss links, and no later step makes up for that
+    got = solve(spark, x, rounds=0, searches=1)
+    wrong = [i for i in expected if got[i] != expected[i]]
+    assert len(wrong) > 10
+
+
+def test_rounds_find_planted_links_in_one_shard(monkeypatch):
+    monkeypatch.setattr(nndescent, "SEED_TREES", 2)
+    monkeypatch.setattr(nndescent, "SEED_ROWS", 40)
+    x = np.unique(planted(np.random.default_rng(3), dim=64), axis=0)
+    components = [c for _, c, _ in truth(x).values()]
+
+    def wrong(rounds):
+        a, b, s = nndescent.shard_lists(np.arange(len(x)), unit(x.astype(float)).astype("f4"), 10, rounds, 0.95, 1, 2)
+        strong = np.isnan(s) | (s >= 0.95)
+        return int((merge_labels(np.arange(len(x)), a[strong], b[strong]) != components).sum())
+
+    assert wrong(nndescent.ROUNDS) <= 3 and wrong(0) > 10
+
+
+def test_low_recall_is_refused(spark, monkeypatch):
+    x = planted(np.random.default_rng(4), field=0)[:300]
+    monkeypatch.setattr(nndescent, "_joins", lambda edges, threshold: edges.select("a", "b").where("false"))
+    monkeypatch.setattr(nndescent, "_enlarge", lambda *_: spark.createDataFrame([], "a long, b long"))
+    with pytest.raises(RuntimeError, match="recall"):
+        solve(spark, x, searches=1)
 
 
 def test_a_lone_link_between_saturated_groups_is_found(spark):
     # a group about 0.5 degrees, its outpost at 9; a group about 35.5, its outpost at 27: one link, 18 degrees long
-    angles = np.radians([*np.linspace(0, 1, 12), 9, *np.linspace(35, 36, 12), 27])
+    angles = np.radians([*np.linspace(0, 1, 100), 9, *np.linspace(35, 36, 100), 27])
     x = np.stack([np.cos(angles), np.sin(angles)], axis=1)
-    a, b, sim = (np.concatenate(c) for c in zip(*nndescent.leaf_edges(np.arange(len(x)), x, 5, 0.95, 1024, np.random.default_rng(0))))
-    strong = sim >= 0.95
-    assert not merge_labels(np.arange(len(x)), a[strong], b[strong]).any()
     rows = list(enumerate(x.tolist()))
     got = nndescent.near_duplicates(vectors_of(spark, rows)).collect()
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == brute(rows)
 
 
+def test_median_trees_deal_evenly():
+    rng = np.random.default_rng(5)
+    # a third of the rows lie within a degree of each other
+    x = unit(np.concatenate([rng.standard_normal((4000, 16)), turned(np.repeat(unit(rng.standard_normal((1, 16))), 2000, axis=0), rng.uniform(0, 1, 2000), rng)])).astype("f4")
+    medians = nndescent.fit_medians(x[rng.permutation(len(x))[:2048]], 32, 9)
+    sizes = np.bincount(nndescent.leaf_of(x, medians, 9), minlength=32)
+    assert sizes.sum() == len(x) and sizes.max() < 3 * len(x) / 32
+
+
 @pytest.mark.parametrize("factor", [1.0, 0.8])
 def test_tree_against_brute_force(factor):
     rng = np.random.default_rng(1)
