@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -84,6 +85,59 @@ def test_boilerplate_without_an_article_element(spark):
     assert html_text.extract(pages_of(spark, [])).count() == 0
 
 
+def test_suffix_array_against_brute_force():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 7, 60, 200):
+        for kinds in (1, 2, 5):
+            tokens = rng.integers(0, kinds, n)
+            order, common = html_text.suffix_array(tokens)
+            suffixes = sorted(range(n), key=lambda i: tokens[i:].tolist())
+            assert order.tolist() == suffixes
+            shared = lambda a, b: next((k for k in range(n) if a + k >= n or b + k >= n or tokens[a + k] != tokens[b + k]), 0)
+            assert common.tolist()[1:] == [shared(a, b) for a, b in zip(suffixes, suffixes[1:])]
+
+
+def divs(*blocks):
+    return "".join(f"<div>{b}</div>" for b in blocks)
+
+
+def site(rng, host, stories, menu, end):
+    """Pages of plain divs: a menu, a story of its own, an end; some stories with near copies."""
+    rows, expected = [], {}
+    for k in range(stories):
+        story = [" ".join(f"{host[7:9]}{k}p{n}w{j}" for j in range(int(rng.integers(20, 40)))) for n in range(3)]
+        for copy in range(1 + 2 * (k % 5 == 0)):
+            key = len(rows)
+            body = [f"story {k} in edition {copy}e{k} as said", *story]
+            rows.append((key, f"{host}/{k}/{copy}", divs(*menu, *body, *end)))
+            expected[key] = "\n".join(body)
+    return rows, expected
+
+
+def test_repeats_are_counted_over_all_shards_of_a_host(spark):
+    rng = np.random.default_rng(4)
+    menu, end = ["Home", "News", "Sport", "Weather and Travel", "Money", "About Us"], ["All rights reserved by the example press group"]
+    rows, expected = site(rng, "http://big.example", 40, menu, end)
+    # a passage on two pages alone, most likely of different shards, is a repeat too
+    pages = pages_of(spark, rows).repartition(3)
+    whole = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert whole == expected
+    assert any("Home" in "\n".join(t for _, t in html_text.page_blocks(r[2])) for r in rows)  # structure alone keeps the menu
+    for size in (1000, 20_000):
+        assert {r.page_id: r.text for r in html_text.extract(pages, shard_chars=size).collect()} == whole
+    notices = [(100 + i, f"http://n.example/{i}", f"<article><p>own words of page {i} {' '.join(f'q{i}w{k}' for k in range(30))}<p>please read our terms of use before you share</article>") for i in range(24)]
+    small, large = ({r.page_id: r.text for r in html_text.extract(pages_of(spark, notices), shard_chars=size).collect()} for size in (300, 1_000_000))
+    assert small == large and not any("terms of use" in t for t in large.values())
+
+
+def test_hostile_markup_takes_linear_time():
+    n = 20_000
+    for page in ("<b>" * n + "</i>" * n, "<p><div>" + "<b>" * n + "<hr>" * n, "<i>" + "<b>" * n + "</i>" * n, '<a "' * n, "<a '\"" * n, "<b>" * n + "<li>" * n, "<script>" * n, "<" * 4 * n):
+        began = time.perf_counter()
+        html_text.page_blocks(page)
+        assert time.perf_counter() - began < 5
+
+
 def test_shared_article_passages_stay_but_site_wide_notices_go():
     passage = "this passage of many words stands in two articles of the very same host and stays in both"
     notice = "please read our terms of use before you share this page with anyone"
