@@ -21,10 +21,14 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+#: What no tag stands in: comments, scripts, styles and the like, closed or not.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript|textarea|title)\b.*?(?:</\1\b|\z)"
+_TAGS = r"(?is)<(?:link|meta|base)\b[^>]*>"
+_CANONICAL = r"""(?is)^<link\b.*(?<![\w-])rel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""
+_REFRESH = r"""(?is)^<meta\b.*(?<![\w-])http-equiv\s*=\s*["']?\s*refresh\b"""
+_HREF = r"""(?is)(?<![\w-])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>]+))"""
+_REFRESH_URL = r"""(?is)[;,\s"']url\s*=\s*["']?([^"'\s>]+)"""
 
 
 def _part(url: Column, group: int) -> Column:
@@ -42,11 +46,12 @@ def path(url: Column) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """One spelling for each resource: no scheme, no fragment, host in lower case, path at least /.
+    """One spelling for each resource: no scheme, no fragment, host in lower case, path at least / and
+    without dot segments.
 
     Null for what has no host.  It starts with ``://``, so host() and path() read it too.
     """
-    at = path(url)
+    at = _plain_path(path(url))
     key = F.concat(F.lit("://"), host(url), F.when(at == "", "/").otherwise(at), _part(url, 3))
     return F.when(host(url) != "", key)
 
@@ -63,31 +68,52 @@ def rule_of(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]]
     return found
 
 
+def _plain_path(path_: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    parts = F.split(path_, "/")
+    up = lambda kept: F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+    step = lambda kept, s: F.when(s == ".", kept).when(s == "..", up(kept)).otherwise(F.concat(kept, F.array(s)))
+    walked = F.array_join(F.aggregate(parts, F.slice(parts, 1, 0), step), "/")
+    plain = F.when(path_.rlike(r"/\.\.?$"), F.concat(walked, F.lit("/"))).otherwise(walked)
+    return F.when(path_.rlike(r"(^|/)\.\.?(/|$)"), plain).otherwise(path_)
+
+
 def _absolute(href: Column, base: Column) -> Column:
-    """``href`` against the page's url, for the forms that pages use."""
-    plain = F.replace(href, F.lit("&amp;"), F.lit("&"))
+    """``href`` against a base url; null where it names no page: empty, a fragment, another scheme's."""
+    plain = F.replace(F.trim(href), F.lit("&amp;"), F.lit("&"))
     top = F.concat(F.lit("://"), host(base))
     folder = F.regexp_extract(path(base), r"^(.*/)", 1)
     return (
-        F.when(plain == "", None)
-        .when(F.contains(plain, F.lit("://")), plain)
+        F.when((plain == "") | F.startswith(plain, F.lit("#")), None)
+        .when(plain.rlike(_SCHEME), F.when(plain.rlike("(?i)^https?://"), plain))
         .when(F.startswith(plain, F.lit("//")), F.concat(F.lit(":"), plain))
         .when(F.startswith(plain, F.lit("/")), F.concat(top, plain))
         .when(F.startswith(plain, F.lit("?")), F.concat(top, path(base), plain))
-        .when(F.startswith(plain, F.lit("#")) | plain.rlike("(?i)^(javascript|mailto|data):"), None)
         .otherwise(F.concat(top, F.when(folder == "", "/").otherwise(folder), plain))
     )
 
 
+def _href(tag: Column) -> Column:
+    found = [F.regexp_extract(tag, _HREF, g) for g in (1, 2, 3)]
+    return F.coalesce(F.concat(*found), F.lit(""))
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """Redirect and canonical-link edges (src, dst) between url keys, read from whole pages."""
+    """Redirect and canonical-link edges (src, dst) between url keys, read from whole pages.
+
+    All canonical links and refreshes of a page count, but for those in comments and scripts; hrefs
+    are resolved against the first base element's, or the page's url.  A ``>`` within an attribute
+    ends its tag.  Null urls and pages give no edge, repeated rows repeated edges.
+    """
     require(pages, "url", "html")
-    tags = F.array(
-        F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1),
-        F.regexp_extract(F.replace(F.regexp_extract("html", _REFRESH, 0), F.lit("&quot;"), F.lit("")), _REFRESH_URL, 1),
-    )
-    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", F.explode(tags).alias("href")).where("href <> ''")
-    edges = found.select(url_key(F.col("url")).alias("src"), url_key(_absolute(F.col("href"), F.col("url"))).alias("dst"))
+    some = pages.where(F.col("url").isNotNull() & F.col("html").rlike("(?i)canonical|refresh")).select("url", "html")
+    tags = F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, " "), F.lit(_TAGS), 0)
+    based = F.get(F.filter(F.transform(F.filter("tags", lambda t: t.rlike("(?is)^<base\\b")), _href), lambda h: h != ""), F.lit(0))
+    found = some.select("url", tags.alias("tags"))
+    found = found.select("url", "tags", F.coalesce(_absolute(based, F.col("url")), F.col("url")).alias("base"))
+    said = F.when(F.col("tag").rlike(_CANONICAL), _href(F.col("tag"))).when(F.col("tag").rlike(_REFRESH), F.regexp_extract(F.replace("tag", F.lit("&quot;"), F.lit('"')), _REFRESH_URL, 1))
+    hrefs = found.select("url", "base", F.explode("tags").alias("tag")).select("url", "base", said.alias("href")).where("href <> ''")
+    edges = hrefs.select(url_key(F.col("url")).alias("src"), url_key(_absolute(F.col("href"), F.col("base"))).alias("dst"))
     return edges.where("src is not null and dst is not null and src <> dst")
 
 

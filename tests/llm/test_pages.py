@@ -7,6 +7,8 @@ import random
 import re
 import time
 from collections import defaultdict
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import numpy as np
 import public_tokenizers
@@ -211,6 +213,73 @@ def test_blocks_reach_aliases(spark):
     assert urlfilter.judge(empty, urlfilter.page_edges(empty)).count() == 0
 
 
+class Links(HTMLParser):
+    """What a plain parser finds of canonical links and refreshes."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.base, self.hrefs = None, []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        has = {k: v or "" for k, v in reversed(attrs)}
+        if tag == "base" and self.base is None and has.get("href"):
+            self.base = has["href"]
+        if tag == "link" and "canonical" in has.get("rel", "").lower().split():
+            self.hrefs.append(has.get("href", "").strip())
+        if tag == "meta" and has.get("http-equiv", "").lower() == "refresh" and "url=" in has.get("content", ""):
+            self.hrefs.append(has["content"].split("url=", 1)[1].strip("\"' "))
+
+
+def plain_key(url):
+    parts = urlsplit(urljoin(url, urlsplit(url).path or "/") + ("?" + urlsplit(url).query if urlsplit(url).query else ""))
+    return f"://{parts.netloc.lower()}{parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
+
+
+def test_edges_against_a_plain_parser(spark):
+    rng = random.Random(5)
+    hosts = ["good.io", "bad.net", "a.org", "example.com", "b.io"]
+    hrefs = ["/login?next=http://bad.net/", "//bad.net/x", "../up/./y", "?q=1&amp;r=http://bad.net/", "#top", "javascript:void(0)", "mailto:x@bad.net", "", "page", "/a/../../b", "HTTP://BAD.net/x", "https://good.io/a", "http://a.org/fr/1", "ftp://bad.net/f", "./", "sub/"]
+    tags = ['<link rel="canonical" href="{}">', "<LINK href='{}' REL='Canonical'>", '<link rel="alternate canonical" data-href="http://bad.net/" href="{}"/>', '<meta http-equiv="refresh" content="0; url={}">', "<!-- <link rel=canonical href='{}'> -->", "<script>'<link rel=canonical href=\"{}\">'</script>", '<link rel="stylesheet" href="{}">']
+    rows = []
+    for i in range(300):
+        head = rng.choice(["", "", '<base href="http://b.io/base/dir/">', '<base target=_blank><base href="/rooted/">'])
+        rows.append((i, f"http://{rng.choice(hosts)}/{rng.choice(['', 'a', 'x/y', 'x/y/', 'en/p'])}{rng.choice(['', '?k=1', '#f'])}", head + "".join(rng.choice(tags).format(rng.choice(hrefs)) for _ in range(rng.randrange(3)))))
+    expected = []
+    for _, url, page in rows:
+        links = Links(page)
+        base = urljoin(url, links.base) if links.base else url
+        for href in links.hrefs:
+            target = urljoin(base, href)
+            if href and not href.startswith("#") and target.lower().startswith("http") and plain_key(url) != plain_key(target):
+                expected.append((plain_key(url), plain_key(target)))
+    pages = pages_of(spark, rows)
+    edges = [tuple(r) for r in urlfilter.page_edges(pages).collect()]
+    assert sorted(edges) == sorted(expected) and len(expected) > 100
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in expected:
+        parent[find(a)] = find(b)
+    said = defaultdict(set)
+    for node in list(parent):
+        said[find(node)].add(plain_rule(*plain_parts(node))[1])
+    for r, (_, url, _) in zip(sorted(urlfilter.judge(pages, urlfilter.page_edges(pages)).collect()), rows):
+        rule, verdict = plain_rule(*plain_parts(url))
+        spread = said[find(plain_key(url))] if plain_key(url) in parent else set()
+        assert (r.rule, r.verdict) == (rule, verdict or ("allow" if "allow" in spread or "block" not in spread else "block"))
+
+
+def test_a_link_that_names_a_url_in_its_query_is_no_alias_of_it(spark):
+    pages = pages_of(spark, [(1, "http://good.io/a", '<link rel="canonical" href="/login?next=http://bad.net/">')])
+    assert [tuple(r) for r in urlfilter.page_edges(pages).collect()] == [("://good.io/a", "://good.io/login?next=http://bad.net/")]
+    assert urlfilter.judge(pages, urlfilter.page_edges(pages)).first().verdict == "allow"
+
+
 def test_components_against_a_plain_search(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 60)] + [(1, 1), (7, 7)]

@@ -174,6 +174,38 @@ def test_nearest_on_odd_rows(spark):
     assert vptree.nearest(df.where(F.lit(False)), F.lit(True)).count() == 0
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(7)
+    one = rng.standard_normal(6)
+    # one direction at sixty lengths, and vectors of zeros and ones, which tie in crowds
+    rows = [(i, (one * 2.0 ** (i - 30)).tolist()) for i in range(60)] + [(100 + i, [float(i >> b & 1) for b in range(6)]) for i in range(1, 64)]
+    rows += [(500 + i, (one * (i + 1)).tolist()) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    x, ids = unit(np.array([v for _, v in rows])), np.array([i for i, _ in rows])
+    for size in (1000, 20):
+        report = {}
+        got = {}
+        for r in vptree.nearest(df, F.lit(True), shard_rows=size, report=report).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        for k, i in enumerate(ids.tolist()):
+            s = np.round(x @ x[k], 12)
+            s[k] = -9
+            assert got[i] == ids[np.lexsort((ids, -s))[:5]].tolist()
+        assert got[0] == [1, 2, 3, 4, 5] and 0 < report[6] <= 1.1
+
+
+def test_shards_and_branches_are_pruned(spark):
+    rng = np.random.default_rng(8)
+    x = turned(np.repeat(unit(rng.standard_normal((40, 8))), 100, axis=0), rng.uniform(0, 4, 4000), rng)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    report = {}
+    found = vptree.nearest(df, F.col("vec_id") % 40 == 0, shard_rows=500, report=report).collect()
+    s = x[::40] @ x.T
+    s[np.arange(100), np.arange(100) * 40] = -9
+    expected = {(q * 40, r + 1): i for q, row in enumerate(np.argsort(-s, axis=1)[:, :5].tolist()) for r, i in enumerate(row)}
+    assert {(r.query_id, r.rank): r.vec_id for r in found} == expected and report[8] < 0.3
+
+
 def test_op1_against_brute_force(spark, sf_dir):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     u = unit(np.array([e for _, e in rows], float))
