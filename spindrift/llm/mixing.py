@@ -127,23 +127,24 @@ def _last_pass(slim: DataFrame, plan: DataFrame) -> DataFrame:
         whole = joined.where("whole").select(*slim.columns, F.col("e").alias("epoch"))
         taken = whole if taken is None else taken.unionAll(whole)
         rows = joined.where("ends").drop("s_", "b_", "whole", "ends", "after")
-    upto = F.sum("n_tokens").over(Window.partitionBy("s").orderBy("spot", "key").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("n_tokens").over(Window.partitionBy("s").orderBy("spot", "key", "tie").rowsBetween(Window.unboundedPreceding, 0))
     cut = rows.withColumn("upto", upto).where("upto <= left").select(*slim.columns, F.col("e").alias("epoch"))
     return taken.unionAll(cut)
 
 
-def mix(docs: DataFrame, budget: int | None = None, max_repeat: float | None = MAX_REPEAT, min_entropy: float | None = None, text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, budget: int | None = None, max_repeat: float | None = MAX_REPEAT, min_entropy: float | None = None, text: str = "text", source: str = "source", tie: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(selection, plan): which documents are read in which epoch, and each source's weight.
 
-    selection has doc_id, source, n_tokens, epoch (from 0) and spot, the place within its epoch;
+    selection has doc_id, source, n_tokens, epoch (from 0), spot, the place within its epoch, and tie;
     a document is there once for each epoch that reads it.  ``budget`` is in tokens; by default as
     many as the input has.  Tokens of a source add up to its target, less than one document short.
     Null sources form one source, null texts have no tokens; documents without tokens are read once.
-    Rows that repeat in doc_id are told apart by text; wholly equal rows share a place and are
-    taken one after another.  An empty table gives an empty selection.
+    Rows that repeat in doc_id share a place and are taken there in order of ``tie``, a hash of the
+    text unless a column is named, so a rerun cuts at the same one; rows alike in it too stand for
+    one another.  An empty table gives an empty selection; extra columns are ignored.
     """
     require(docs, "doc_id", text, source)
-    slim = docs.select("doc_id", F.col(source).alias("source"), count_tokens(F.col(text)).alias("n_tokens"), F.coalesce(F.col("doc_id").cast("string"), F.md5(words_text(F.col(text)))).alias("key"))
+    slim = docs.select("doc_id", F.col(source).alias("source"), count_tokens(F.col(text)).alias("n_tokens"), F.coalesce(F.col("doc_id").cast("string"), F.md5(words_text(F.col(text)))).alias("key"), (F.col(tie) if tie else F.xxhash64(words_text(F.col(text)))).alias("tie"))
     slim = materialize(slim, "tokens")
     sources = materialize(source_tokens(slim, F.col("n_tokens")), "sources")
     if budget is None:
@@ -153,16 +154,25 @@ def mix(docs: DataFrame, budget: int | None = None, max_repeat: float | None = M
     whole = plan.where("epochs > 0").select(F.col("source").alias("s"), F.col("epochs").alias("e"))
     full = slim.join(whole, slim.source.eqNullSafe(whole.s)).select(*slim.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("e") - 1)).alias("epoch"))
     chosen = full.unionAll(_last_pass(slim, plan))
-    return chosen.select("doc_id", "source", "n_tokens", "epoch", place(F.lit(SEED), F.col("epoch"), F.col("key")).alias("spot")), plan
+    return chosen.select("doc_id", "source", "n_tokens", "epoch", place(F.lit(SEED), F.col("epoch"), F.col("key")).alias("spot"), "tie"), plan
 
 
 def apply_mix(docs: DataFrame, budget: int | None = None, max_repeat: float | None = MAX_REPEAT, min_entropy: float | None = None) -> DataFrame:
-    """The documents of the mix with the columns of ``docs``, each as often as it is read."""
-    chosen, _ = mix(docs, budget, max_repeat, min_entropy)
-    name, n = free_name(docs, "mix_id"), free_name(docs, "mix_times")
-    times = chosen.groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("reads"))
-    rows = docs.groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows"))
-    # rows that share a doc_id share its reads: each row gets the whole part, rounded up
-    per_row = materialize(times.join(rows, times[name].eqNullSafe(rows[name])).select(times[name], F.ceil(F.col("reads") / F.col("rows")).cast("int").alias(n)), "reads")
-    out = docs.join(per_row, docs.doc_id.eqNullSafe(per_row[name]))
-    return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    """The documents of the mix with the columns of ``docs``, each as often as it is read, in order.
+
+    Rows come epoch by epoch, each in the order of its block permutation, by range partitions.  Null
+    sources and texts, repeated rows and an empty table are taken as in mix(); rows that differ in
+    any column are read as documents of their own, and the tokens read never go beyond the budget.
+    """
+    hash_, epoch, spot, n, copies = (free_name(docs, stem) for stem in ("mix_row", "mix_epoch", "mix_spot", "mix_times", "mix_copies"))
+    keyed = docs.withColumn(hash_, F.xxhash64(*docs.columns))
+    chosen, _ = mix(keyed, budget, max_repeat, min_entropy, tie=hash_)
+    reads = chosen.groupBy(F.col("tie").alias(hash_), F.col("epoch").alias(epoch), F.col("spot").alias(spot)).agg(F.count("*").cast("int").alias(n))
+    times = keyed.groupBy(hash_).agg(F.count("*").alias(copies)).where(F.col(copies) > 1)
+    plan = materialize(reads.join(times, hash_, "left"), "reads")
+    single = keyed.join(plan.where(F.col(copies).isNull()).drop(copies, n), hash_)
+    # rows alike in all columns: one stands for all, as often as they are read together
+    alike = keyed.join(plan.where(F.col(copies).isNotNull()).drop(copies), hash_).dropDuplicates([hash_, epoch, spot])
+    alike = alike.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n)
+    out = single.select(*docs.columns, epoch, spot).unionAll(alike.select(*docs.columns, epoch, spot))
+    return out.repartitionByRange(epoch, spot).sortWithinPartitions(epoch, spot).select(*docs.columns)

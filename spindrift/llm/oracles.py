@@ -30,33 +30,39 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_ag
 FROM r GROUP BY conv_id"""
 
 
-def _host(url: str) -> str:
-    return f"translate(coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-
-def _path(url: str) -> str:
-    return f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 
 
-def _key(url: str) -> str:
-    return f"CASE WHEN {_host(url)} <> '' THEN '://' || {_host(url)} || CASE WHEN {_path(url)} = '' THEN '/' ELSE {_path(url)} END || regexp_extract({url}, '(?s)^.*?://[^/?#]*[^?#]*(\\??[^#]*)', 1) END"
+def _cut(rest: str, *marks: str) -> str:
+    """Characters of a text before the first of the marks."""
+    return "least(" + ", ".join(f"coalesce(nullif(strpos({rest}, '{m}'), 0) - 1, length({rest}))" for m in marks) + ")"
 
 
-_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
-_HREF = "replace(h, '&amp;', '&')"
+#: (host, path, query) of a url, by positions alone.
+_PARTS = f"""rest AS (SELECT u, CASE WHEN strpos(u, '://') > 0 THEN substr(u, strpos(u, '://') + 3) ELSE '' END AS r FROM urls),
+ hosted AS (SELECT u, translate(left(r, {_cut("r", "/", "?", "#")}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(r, {_cut("r", "/", "?", "#")} + 1) AS tail FROM rest),
+ parts AS (SELECT u, host, left(tail, {_cut("tail", "?", "#")}) AS path, CASE WHEN strpos(left(tail, {_cut("tail", "#")}), '?') > 0 THEN substr(left(tail, {_cut("tail", "#")}), strpos(tail, '?')) ELSE '' END AS query FROM hosted)"""
+_OWN = "(SELECT arg_max(struct_pack(rule := r.h || r.p, verdict := r.verdict), length(r.h) + length(r.p)) FROM rules r WHERE ({0}.host = r.h OR ends_with({0}.host, '.' || r.h)) AND starts_with({0}.path, r.p))"
+#: Dot segments and base elements are not resolved here; no page of the tables has any.
 OP7 = f"""WITH RECURSIVE rules(verdict, h, p) AS (VALUES {_RULES}),
- pg AS (SELECT page_id, url, {_host("url")} AS host, {_path("url")} AS path, {_key("url")} AS key, html FROM pages),
- raw AS (SELECT url, key, regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS h FROM pg
-  UNION ALL SELECT url, key, regexp_extract(replace(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0), '&quot;', ''), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM pg),
- target AS (SELECT key, CASE WHEN contains({_HREF}, '://') THEN {_HREF} WHEN starts_with({_HREF}, '//') THEN ':' || {_HREF} WHEN starts_with({_HREF}, '/') THEN '://' || {_host("url")} || {_HREF}
-  WHEN starts_with({_HREF}, '?') THEN '://' || {_host("url")} || {_path("url")} || {_HREF} WHEN starts_with({_HREF}, '#') OR regexp_matches({_HREF}, '(?i)^(javascript|mailto|data):') THEN NULL
-  ELSE '://' || {_host("url")} || CASE WHEN regexp_extract({_path("url")}, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract({_path("url")}, '^(.*/)', 1) END || {_HREF} END AS t FROM raw WHERE h <> '' AND key IS NOT NULL),
- e AS (SELECT key AS a, {_key("t")} AS b FROM target WHERE t IS NOT NULL), both_ways AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION SELECT b, a FROM e WHERE b IS NOT NULL),
- reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON r.b = x.a),
- ruled AS (SELECT n.b, r.verdict FROM (SELECT DISTINCT b FROM reach) n JOIN rules r ON ({_host("n.b")} = r.h OR ends_with({_host("n.b")}, '.' || r.h)) AND starts_with({_path("n.b")}, r.p) QUALIFY row_number() OVER (PARTITION BY n.b ORDER BY length(r.h || r.p) DESC) = 1),
- spread AS (SELECT reach.a, min(ruled.verdict) AS verdict FROM reach JOIN ruled ON reach.b = ruled.b GROUP BY reach.a),
- own AS (SELECT pg.page_id, pg.host, pg.path, pg.key, (SELECT arg_max(struct_pack(rule := r.h || r.p, verdict := r.verdict), length(r.h || r.p)) FROM rules r WHERE (pg.host = r.h OR ends_with(pg.host, '.' || r.h)) AND starts_with(pg.path, r.p)) AS o FROM pg)
-SELECT own.page_id, own.host, own.path, own.o.rule AS rule, coalesce(own.o.verdict, spread.verdict, 'allow') AS verdict FROM own LEFT JOIN spread ON own.key = spread.a"""
+ tags AS (SELECT url, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script\\b.*?</script', ' ', 'g'), '(?is)<style\\b.*?</style', ' ', 'g'), '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+ hrefs AS (SELECT url, replace(trim(trim(CASE WHEN regexp_matches(tag, '(?is)^<link.*\\srel\\s*=\\s*["\\x27]?[^"\\x27>]*\\bcanonical\\b') THEN regexp_extract(tag, '(?is)\\shref\\s*=\\s*("[^"]*"|\\x27[^\\x27]*\\x27|[^\\s>]+)', 1)
+   WHEN regexp_matches(tag, '(?is)^<meta.*\\shttp-equiv\\s*=\\s*["\\x27]?refresh') THEN regexp_extract(replace(tag, '&quot;', ''), '(?is)url\\s*=\\s*["\\x27]?([^"\\x27\\s>]+)', 1) ELSE '' END, '"' || chr(39))), '&amp;', '&') AS h FROM tags),
+ page_urls AS (SELECT DISTINCT url AS u FROM pages WHERE url IS NOT NULL),
+ targets AS (SELECT url, CASE WHEN h = '' OR starts_with(h, '#') THEN NULL WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN regexp_matches(h, '(?i)^https?://') THEN h END
+   WHEN starts_with(h, '//') THEN ':' || h WHEN starts_with(h, '/') THEN '://' || split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1) || h
+   WHEN starts_with(h, '?') THEN split_part(split_part(url, '#', 1), '?', 1) || h ELSE regexp_extract(split_part(split_part(url, '#', 1), '?', 1) || '/', '^(.*?://[^/]*/(?:.*/)?)[^/]*/?$', 1) || h END AS t FROM hrefs),
+ urls AS (SELECT u FROM page_urls UNION SELECT t FROM targets WHERE t IS NOT NULL),
+ {_PARTS},
+ keyed AS (SELECT u, host, path, CASE WHEN path = '' THEN '/' ELSE path END AS plain, host || '|' || CASE WHEN path = '' THEN '/' ELSE path END || '|' || query AS key FROM parts),
+ links AS (SELECT a.key AS x, b.key AS y FROM targets t JOIN keyed a ON a.u = t.url JOIN keyed b ON b.u = t.t WHERE a.host <> '' AND b.host <> '' AND a.key <> b.key),
+ steps AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+ reach(x, y) AS (SELECT x, y FROM steps UNION SELECT r.x, s.y FROM reach r JOIN steps s ON r.y = s.x),
+ nodes AS (SELECT DISTINCT key, host, plain AS path FROM keyed), said AS (SELECT nodes.key, {_OWN.format("nodes")}.verdict AS verdict FROM nodes),
+ spread AS (SELECT reach.x, CASE WHEN bool_or(said.verdict = 'allow') THEN 'allow' WHEN bool_or(said.verdict = 'block') THEN 'block' END AS verdict FROM reach JOIN said ON said.key = reach.y GROUP BY reach.x),
+ own AS (SELECT keyed.*, {_OWN.format("keyed")} AS o FROM keyed)
+SELECT pages.page_id, coalesce(own.host, '') AS host, coalesce(own.path, '') AS path, own.o.rule AS rule, coalesce(own.o.verdict, spread.verdict, 'allow') AS verdict
+FROM pages LEFT JOIN own ON own.u = pages.url LEFT JOIN spread ON spread.x = own.key"""
 
 OP9 = f"""WITH RECURSIVE tok AS MATERIALIZED (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS BIGINT) AS n_tokens, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS key FROM documents),
  src AS (SELECT source, CAST(sum(n_tokens) AS DOUBLE) AS n FROM tok GROUP BY source),

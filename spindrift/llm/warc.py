@@ -9,11 +9,10 @@ rerun writes the same ones.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,8 +27,8 @@ DATE = "1970-01-01T00:00:00Z"
 Headers = list[tuple[str, str]]
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.IGNORECASE | re.DOTALL)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b[^>]*(?:>|\Z)", re.IGNORECASE)
-_TAG = re.compile(r"</?[a-zA-Z!?][^>]*(?:>|\Z)")
+_BREAK = re.compile(r"""</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:>|\Z)|[^>]*(?:>|\Z))""", re.IGNORECASE)
+_TAG = re.compile(r"""</?[a-zA-Z!?](?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:>|\Z)|[^>]*(?:>|\Z))""")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.IGNORECASE)
 
 
@@ -69,25 +68,54 @@ def _header_lines(raw: bytes) -> Headers:
     return out
 
 
-def read_records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
+def inflate(data: bytes, faults: list[str] | None = None) -> bytes:
+    """Gzipped data, member by member; what is cut off or damaged ends it and is noted in ``faults``."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error as fault:
+            if faults is not None:
+                faults.append(f"gzip: {fault}")
+            break
+        if not member.eof:
+            if faults is not None:
+                faults.append("gzip: cut off")
+            break
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
+_START = re.compile(rb"(?:\A|(?<=\n))WARC/\d")
+
+
+def read_records(data: bytes, faults: list[str] | None = None) -> Iterator[tuple[Headers, bytes]]:
     """(headers, block) of each record; data may be plain or gzipped, record by record or whole.
 
-    Records are found by their Content-Length.  Reading ends at the first that is cut off or
-    malformed.
+    Records are found by their Content-Length.  A record that is cut off or malformed is passed over
+    and reading goes on at the next line that starts one; what was wrong is noted in ``faults``.
     """
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
+    data = inflate(data, faults)
     at = 0
     while True:
         while data[at : at + 1] in (b"\r", b"\n"):
             at += 1
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
+        if at >= len(data):
             return
-        headers = _header_lines(data[at:end].partition(b"\r\n")[2])
+        end = data.find(b"\r\n\r\n", at)
+        headers = _header_lines(data[at:end].partition(b"\r\n")[2]) if end >= 0 and _START.match(data, at) else []
         length = value(headers, "Content-Length")
-        if not length.isdigit() or end + 4 + int(length) > len(data):
-            return
+        if not (length.isascii() and length.isdigit()) or end + 4 + int(length) > len(data):
+            if faults is not None:
+                faults.append(f"no whole record at byte {at}")
+            following = _START.search(data, at + 1)
+            if following is None:
+                return
+            at = following.start()
+            continue
         at = end + 4 + int(length)
         yield headers, data[end + 4 : at]
 
@@ -165,7 +193,8 @@ def derive_pages(pages: DataFrame, date: str = DATE) -> DataFrame:
     """The derived records of each page (page_id, url, html), as one row each.
 
     A page is first written as a response record and read back.  Null html is an empty body, a null
-    url an empty target.  Repeated rows each give their records; extra columns are ignored.
+    url an empty target; whole pages of any length are kept.  Repeated rows each give their records,
+    with the same ids; an empty table gives none; extra columns are ignored.
     """
     require(pages, "page_id", "url", "html")
 
@@ -186,8 +215,11 @@ def derive_pages(pages: DataFrame, date: str = DATE) -> DataFrame:
 def derive_files(files: DataFrame) -> DataFrame:
     """The derived records of WARC files, from rows with ``content`` as the binaryFile reader gives.
 
-    page_id is the place of the response within its file.  A file is read whole, so files should
-    stay within an executor's memory, as archives of about a gigabyte do.
+    page_id is the place of the record within its file.  What could not be read of a file, cut off
+    or malformed, gives a row of type ``unreadable`` each, with the reason as content and no
+    page_id.  Null and empty contents give no rows, repeated files repeated ones; extra columns are
+    ignored.  A file is read whole, so files should stay within an executor's memory, as archives of
+    about a gigabyte do.
     """
     require(files, "content")
 
@@ -195,12 +227,14 @@ def derive_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows: list[tuple] = []
-                for n, (headers, block) in enumerate(read_records(data.as_py() or b"")):
+                faults: list[str] = []
+                for n, (headers, block) in enumerate(read_records(data.as_py() or b"", faults)):
                     payload = value(headers, "WARC-Payload-Digest")
                     rows += [_row(n, payload, h, c) for h, c in derive(headers, block)]
                     if len(rows) >= 1024:
                         yield _batch(rows)
                         rows = []
+                rows += [_row(None, "", [("WARC-Type", "unreadable")], fault.encode()) for fault in faults]
                 yield _batch(rows)
 
     return files.select("content").mapInArrow(run, DERIVED)

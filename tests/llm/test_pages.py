@@ -1,5 +1,6 @@
 """HTML text, URL filters, WARC and chat against brute force, round trips and odd inputs."""
 
+import base64
 import gzip
 import hashlib
 import html
@@ -315,12 +316,88 @@ def test_warc_round_trip(spark, tmp_path):
             assert list(warc.read_records(warc.write_record(*text)))[0][1] == text[1]
             assert warc.derive(*text) == []
     assert warc.derive(*records[0])[1][1].decode() == "One & two\nthree"
-    assert list(warc.read_records(raw[:-30])) == records[:1] and list(warc.read_records(b"junk")) == []
+    faults = []
+    assert list(warc.read_records(raw[:-30], faults)) == records[:1] and len(faults) == 1
+    assert list(warc.read_records(b"junk", faults)) == [] and len(faults) == 2
     (tmp_path / "x.warc").write_bytes(raw)
     files = spark.read.format("binaryFile").load(str(tmp_path))
     assert [r.record_type for r in warc.derive_files(files).collect()] == ["metadata", "conversion"] * 2
 
 
+def test_damaged_files_give_what_can_be_read(spark, tmp_path):
+    records = [warc.write_record(*warc.response_record(f"http://a.example/{i}", f"<p>page {i} {'x' * 500}".encode())) for i in range(4)]
+    whole, members = gzip.compress(b"".join(records)), [gzip.compress(r) for r in records]
+    hurt = records[1].replace(b"Content-Length: ", b"Content-Length: x")
+    cases = {"plain": (b"".join(records), 4, 0), "cut": (b"".join(records)[:-40], 3, 1), "members": (b"".join(members), 4, 0), "members_cut": (b"".join(members)[:-20], 3, 1), "hurt": (records[0] + hurt + records[2], 2, 1), "noise": (b"junk\n" + records[0], 1, 1), "empty": (b"", 0, 0)}
+    for name, (data, _, _) in cases.items():
+        (tmp_path / f"{name}.warc").write_bytes(data)
+    (tmp_path / "whole_cut.warc").write_bytes(whole[: len(whole) - 60])
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    for name, (data, good, bad) in cases.items():
+        rows = warc.derive_files(files.where(F.col("path").endswith(f"/{name}.warc"))).collect()
+        kinds = [r.record_type for r in rows]
+        assert (kinds.count("conversion"), kinds.count("metadata")) == (good, good), name
+        assert kinds.count("unreadable") >= bad and (bad > 0) == ("unreadable" in kinds), name
+    rows = warc.derive_files(files.where(F.col("path").endswith("/whole_cut.warc"))).collect()
+    assert any(r.record_type == "unreadable" and "gzip" in r.content for r in rows)
+
+
+class Visible(HTMLParser):
+    """Visible text by another parser: blocks on lines, white space as one space."""
+
+    HIDDEN = ("script", "style", "title", "noscript", "template", "textarea")
+    TURNS = "address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th tr ul".split()
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.off = [], 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.off += tag in self.HIDDEN
+        self.turn(tag)
+
+    def handle_endtag(self, tag):
+        self.off -= tag in self.HIDDEN and self.off > 0
+        self.turn(tag)
+
+    def turn(self, tag):
+        if tag in self.TURNS:
+            self.out.append("\0")
+
+    def handle_data(self, data):
+        if not self.off:
+            self.out.append(data)
+
+    def text(self):
+        lines = (" ".join(part.split()) for part in "".join(self.out).split("\0"))
+        return "\n".join(line for line in lines if line)
+
+
+def test_op8_against_plain_code(spark, sf_dir):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    by = defaultdict(dict)
+    for r in queries.op8_warc(spark, sf_dir).collect():
+        by[r.page_id][r.record_type] = r
+    assert set(by) == set(pages) and all(set(x) == {"metadata", "conversion"} for x in by.values())
+    sources = set()
+    for key, found in by.items():
+        meta, text = found["metadata"], found["conversion"]
+        body = pages[key].html.encode()
+        sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+        fields = dict(line.split(": ", 1) for line in meta.content.split("\r\n") if line)
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+        assert fields == {"http-status": "HTTP/1.1 200 OK", "http-header-content-type": "text/html; charset=utf-8", "http-header-content-length": str(len(body)), "source-payload-digest": sha(body), "source-block-digest": sha(head + body), "source-content-length": str(len(head + body))}
+        assert text.content == Visible(pages[key].html).text()
+        for r in (meta, text):
+            assert (r.target_uri, r.warc_date, r.block_digest, r.content_length) == (pages[key].url, warc.DATE, sha(r.content.encode()), len(r.content.encode()))
+        assert meta.refers_to == text.refers_to and meta.record_id != text.record_id
+        sources.add(meta.refers_to)
+    assert len(sources) == len({(p.url, p.html) for p in pages.values()})
+    assert warc.plain_text("<p>a <img alt=\"a>b\">x<p title='1>0'>y") == "a x\ny"
+
+
 def test_op8(spark, sf_dir):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     got = queries.op8_warc(spark, sf_dir).collect()
