@@ -17,11 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session does not name one (tests, a single machine) a temporary folder is set.
+    Where the session does not name one, a local master is given a temporary folder; on a cluster,
+    where executors would not see it, an error says what to set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="spindrift-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -30,11 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage, survives lost executors, and keeps column pruning for later readers.
+    This cuts the lineage, survives lost executors, and keeps column pruning for later readers.  The
+    files go with ``release`` or, where a result still reads them, when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
