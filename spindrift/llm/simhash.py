@@ -1,7 +1,8 @@
 """SimHash near-duplicates: 64-bit fingerprints joined within a Hamming radius by VP trees.
 
-Fingerprints are collapsed to distinct values first, so thousands of copies are one point.  A
-vantage-point tree over a bounded sample deals the distinct fingerprints into shards.  At a node
+Fingerprints are collapsed to distinct values first, so thousands of copies are one point.  Vantage-point
+trees over bounded samples deal the distinct fingerprints into shards, in two levels where there
+are many.  At a node
 with vantage ``v`` and radius ``mu``, a point at distance ``d <= mu`` lives on the left, others on
 the right.  Two points within ``r`` bits differ by at most ``r`` in their distances to ``v``, so a
 left point can have a partner on the right only when ``d > mu - r``: just those are copied to the
@@ -26,8 +27,8 @@ from .unionfind import merge_labels
 SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 2
-#: Rows of the sample that fits the top tree, and points a shard should hold.
-SAMPLE_ROWS = 65_536
+#: Leaves of a routing tree at most, sampled rows that place each, and points a shard should hold.
+FAN, ROWS_A_LEAF = 512, 128
 SHARD_POINTS = 8_192
 #: Below this many points a local search compares all of them.
 LEAF_POINTS = 384
@@ -118,6 +119,24 @@ def build_tree(sample: np.ndarray, leaves: int, radius: int = RADIUS) -> list[tu
     return nodes
 
 
+def leaves_for(points: int, fan: int | None = None) -> int:
+    """Leaves of a tree that deals so many points into shards, as far as one tree does."""
+    return max(1, min(fan or FAN, -(-points // SHARD_POINTS)))
+
+
+def pack_nodes(nodes: list[tuple]) -> list[int]:
+    """A tree as whole numbers, four a node; fingerprints as signed ones."""
+    flat: list[int] = []
+    for node in nodes:
+        flat += [node[0] - (1 << 64) if node[0] >= 1 << 63 else node[0], *node[1:]] if len(node) == 4 else [node[0], -1, -1, -1]
+    return flat
+
+
+def unpack_nodes(flat: list[int]) -> list[tuple]:
+    rows = [flat[i : i + 4] for i in range(0, len(flat), 4)]
+    return [(r[0],) if r[1] < 0 and r[2] < 0 else (r[0] % (1 << 64), *r[1:]) for r in rows]
+
+
 def route(points: np.ndarray, nodes: list[tuple], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """(row index, shard) for the home shard of each point and each shard that it visits."""
     rows, shards = [], []
@@ -163,31 +182,64 @@ def local_forest(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 def hamming_links(prints: DataFrame, fp: str = "fp", radius: int = RADIUS) -> DataFrame:
     """Edges (src, dst) that span the components of the distinct fingerprints in ``fp``.
 
-    Two fingerprints link when they differ in at most ``radius`` bits.  No candidate is capped.
+    Two fingerprints link when they differ in at most ``radius`` bits.  No candidate is capped.  A
+    tree over a bounded sample deals the points into at most FAN parts, visitors among them; a part
+    that holds more than a shard is dealt on by a tree of its own, fitted in a task on a bounded
+    sample of the part.  So shards stay bounded up to FAN squared of them, and the trees that are
+    shipped are FAN squared nodes at most.
     """
-    spark = prints.sparkSession
-    n = prints.count()
-    drawn = prints.select(fp).orderBy(F.xxhash64(fp, F.lit(3))).limit(SAMPLE_ROWS)
+    points = prints.select(F.col(fp).alias("fp"))
+    n = points.count()
+    leaves = leaves_for(n)
+    drawn = points.orderBy(F.xxhash64("fp", F.lit(3))).limit(max(1024, leaves * ROWS_A_LEAF))
     sample = np.array([r[0] for r in drawn.toLocalIterator()], dtype=np.int64).view(np.uint64)
-    nodes = build_tree(np.sort(sample), -(-n // SHARD_POINTS), radius)
+    nodes = build_tree(np.sort(sample), leaves, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            rows, shards = route(points, nodes, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(points[rows].view(np.int64))], names=["shard", "fp"])
+            found = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            rows, shards = route(found, nodes, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int64)), pa.array(found[rows].view(np.int64))], names=["shard", "fp"])
 
     def search(group: pa.Table) -> pa.Table:
-        points = np.unique(group.column("fp").to_numpy().view(np.uint64))
-        labels = local_forest(points, radius)
-        linked = np.flatnonzero(labels != np.arange(len(points)))
-        ends = points.view(np.int64)
+        found = np.unique(group.column("fp").to_numpy().view(np.uint64))
+        labels = local_forest(found, radius)
+        linked = np.flatnonzero(labels != np.arange(len(found)))
+        ends = found.view(np.int64)
         return pa.table({"src": ends[linked], "dst": ends[labels[linked]]})
 
-    dealt = prints.select(F.col(fp).alias("fp")).mapInArrow(deal, "shard int, fp long")
+    dealt = points.mapInArrow(deal, "shard long, fp long")
+    if n > FAN * SHARD_POINTS:
+        dealt = _deal_on(dealt, radius)
     return dealt.groupBy("shard").applyInArrow(search, "src long, dst long")
 
 
+def _deal_on(dealt: DataFrame, radius: int) -> DataFrame:
+    """(shard, fp) of parts that are dealt on, each by a tree of its own."""
+    sizes = {r["shard"]: r["count"] for r in dealt.groupBy("shard").count().collect()}
+    fan, rows = FAN, ROWS_A_LEAF
+
+    def fit(key: tuple, group: pa.Table) -> pa.Table:
+        number = key[0].as_py()
+        sample = np.sort(group.column("fp").to_numpy().view(np.uint64))
+        return pa.table({"shard": pa.array([number], pa.int64()), "nodes": pa.array([pack_nodes(build_tree(sample, leaves_for(sizes[number], fan), radius))], pa.list_(pa.int64()))})
+
+    # of each part a share that gives its leaves ROWS_A_LEAF rows
+    rates = F.create_map(*[F.lit(x) for s, size in sizes.items() for x in (s, min(1.0, leaves_for(size, fan) * rows / size))])
+    drawn = dealt.where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(1 << 30)) < rates[F.col("shard")] * F.lit(float(1 << 30)))
+    below = {r["shard"]: unpack_nodes(r["nodes"]) for r in drawn.groupBy("shard").applyInArrow(lambda k, g: fit(k, g), "shard long, nodes array<long>").toLocalIterator()}
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, found = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for number in np.unique(part).tolist():
+                here = found[part == number]
+                rows, shards = route(here, below.get(number, [(0,)]), radius)
+                yield pa.RecordBatch.from_arrays([pa.array(number * (1 << 32) + shards.astype(np.int64)), pa.array(here[rows].view(np.int64))], names=["shard", "fp"])
+
+    return dealt.mapInArrow(again, "shard long, fp long")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` (doc_id among them), ``fp`` and ``component_id`` for every document.
 

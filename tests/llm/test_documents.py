@@ -65,6 +65,39 @@ def test_local_search_is_exact(seed):
     assert (labels == expected).all()
 
 
+def test_shards_stay_bounded_as_points_grow(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(simhash, "SHARD_POINTS", 64)
+    monkeypatch.setattr(simhash, "FAN", 8)
+    largest = []
+    for n in (512, 4096, 16_384):
+        x = np.unique(np.concatenate([rng.integers(0, 2**63, n // 2, dtype=np.uint64), *(x_ ^ (np.uint64(1) << rng.integers(0, 60, n // 8, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 60, n // 8, dtype=np.uint64)) for x_ in rng.integers(0, 2**63, 4, dtype=np.uint64))]))
+        rows, parts = simhash.route(x, simhash.build_tree(np.sort(rng.permutation(x)[:1024]), simhash.leaves_for(len(x))))
+        sizes = []
+        for p in np.unique(parts):
+            part = x[rows[parts == p]]
+            tree = simhash.build_tree(np.sort(rng.permutation(part)[:1024]), simhash.leaves_for(len(part)))
+            assert simhash.unpack_nodes(simhash.pack_nodes(tree)) == tree
+            sizes += np.bincount(simhash.route(part, tree)[1]).tolist()
+        largest.append(max(sizes))
+    assert largest[-1] < 16_384 / 8
+
+
+def test_two_levels_of_trees_find_the_same_groups(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    x = np.unique(np.concatenate([x, *(x[:300] ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) for _ in range(4))]))
+    a, b = np.nonzero(np.bitwise_count(x[:, None] ^ x[None]) <= 2)
+    expected = merge_labels(np.arange(len(x)), a, b)
+    monkeypatch.setattr(simhash, "SHARD_POINTS", 60)
+    monkeypatch.setattr(simhash, "FAN", 6)
+    prints = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long").repartition(3)
+    found = simhash.hamming_links(prints).collect()
+    place = {int(v): i for i, v in enumerate(x.view(np.int64))}
+    labels = merge_labels(np.arange(len(x)), np.array([place[r.src] for r in found]), np.array([place[r.dst] for r in found]))
+    assert (labels == expected).all()
+
+
 def brute_components(rows):
     """{row: smallest doc_id} of documents whose fingerprints link at 2 bits."""
     prints = [slow_fingerprint(t) for _, t in rows]
@@ -107,6 +140,57 @@ def test_quality_scores(spark, sf_dir):
     assert len(held) > 30 and sum(p == q for p, q in held) / len(held) > 0.97
 
 
+def plain_statistics(text):
+    """The statistics of a text by plain counting."""
+    words = text.split()
+    if not words:
+        return [0.0] * 6
+    raw = text.encode("utf-8", "replace")
+    marks = [b for b in raw if not (chr(b).isalpha() and b < 128 or b >= 128 or chr(b) in " \t\n\r\x0b\x0c" or chr(b) in "0123456789.,;:'\"-()?")]
+    letters = [chr(b) for b in raw if b < 128 and chr(b).isalpha()]
+    share = lambda part, whole: math.sqrt(min(1.0, max(0, part) / whole)) if whole else 0.0
+    return [
+        math.log1p(len(words)) / 10, share(len(marks) - 4, sum(chr(b) not in " \t\n\r\x0b\x0c" for b in raw)), share(sum(c.isupper() for c in letters) - len(words), len(letters)),
+        share(sum(not any(c.isalnum() for c in w) for w in words) - 2, len(words)), share(sum(a == b for a, b in zip(words, words[1:])) - 1, len(words)), min(1.0, (len(set(words)) + 2) / len(words) ** 0.8),
+    ]
+
+
+def test_op5_against_brute_force(spark, sf_dir):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in docs}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    x = {i: np.array(plain_statistics(t)) for i, t in docs.items()}
+    rows = [np.array([x[i] for i, q in labels if q == c and i in docs and not held[i]]) for c in (0, 1)]
+    total = len(rows[0]) + len(rows[1])
+    pooled = sum(len(r) * np.cov(r.T, bias=True) for r in rows) / total
+
+    def density(v, c):
+        mixed = 0.7 * np.cov(rows[c].T, bias=True) + 0.3 * pooled
+        cov = 0.8 * mixed + 0.2 * np.diag(np.diag(mixed)) + 1e-3 * np.eye(6)
+        d = v - rows[c].mean(axis=0)
+        return math.log((len(rows[c]) + 1) / (total + 2)) - 0.5 * np.log(np.linalg.det(cov)) - 0.5 * d @ np.linalg.solve(cov, d)
+
+    for r in queries.op5_quality(spark, sf_dir).collect():
+        odds = np.clip(density(x[r.doc_id], 1) - density(x[r.doc_id], 0), -30, 30)
+        assert r.held_out == held[r.doc_id] and abs(r.score - 1 / (1 + math.exp(-odds))) < 1e-6 and r.predicted == (r.score >= 0.3)
+
+
+def test_quality_fits_on_a_bounded_sample(spark):
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    sample = quality.training_labels(labels, most=500)
+    picked = {r.fit_id for r in sample.collect()}
+    assert 350 < len(picked) < 650 and not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in picked)
+    assert picked == {r.fit_id for r in quality.training_labels(labels.repartition(7), most=500).collect()}
+
+
+def test_quality_refuses_clashing_columns(spark, sf_dir):
+    docs = odd_documents(spark).withColumn("length", F.lit(1)).withColumn("score", F.lit("s"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    assert quality.score_documents(docs, labels, keep=("doc_id", "length")).columns == ["doc_id", "length", "held_out", "score", "predicted"]
+    with pytest.raises(ValueError, match="repeat"):
+        quality.score_documents(docs, labels, keep=("doc_id", "score"))
+
+
 def test_quality_labels_of_held_out_rows_have_no_say(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     turned = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")).cast("int"))
