@@ -1,7 +1,7 @@
 """Quality classifier: regularised quadratic discriminant over transformed text statistics.
 
 Every document is reduced to a few bounded statistics.  Class means and covariances come from sums
-over all labelled training rows, aggregated on the executors; only those few hundred numbers reach
+over the labelled training rows, FIT_ROWS of them at most, aggregated on the executors; only those few hundred numbers reach
 the driver.  Covariances are shrunk towards the pooled one and its diagonal, factored once by
 Cholesky, and a score is the logistic of the difference of Mahalanobis log-densities.
 """
@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, require, words_text
+from .common import free_name, materialize, require, words_text
 
+#: Labelled rows that the model is fitted on, about: where there are more, a share of them by hash.
+FIT_ROWS = 65_536
 FEATURES = ("length", "marks", "upper", "bare", "repeats", "variety")
 THRESHOLD = 0.3
 #: Share of the pooled covariance in a class covariance, then of its diagonal; least variance.
@@ -66,20 +68,22 @@ def statistics(text: str) -> tuple[float, ...]:
     )
 
 
-def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and one double for each of FEATURES; null text counts as empty."""
+def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = FEATURES) -> DataFrame:
+    """Columns ``keep`` and one double for each of FEATURES, by ``names``; null text counts as empty."""
     require(docs, "text", *keep)
-    names = [*keep, *FEATURES]
+    columns = [*keep, *names]
+    if len({c.lower() for c in columns}) < len(columns):
+        raise ValueError(f"columns repeat: {columns}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([statistics(t.as_py()) for t in batch.column(batch.num_columns - 1)], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(rows[:, j].copy()) for j in range(len(FEATURES)))], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(rows[:, j].copy()) for j in range(len(FEATURES)))], names=columns)
 
     schema = docs.select(*keep)
-    for name in FEATURES:
+    for name in names:
         schema = schema.withColumn(name, F.lit(0.0).cast("double"))
-    return docs.select(*keep, words_text(F.col("text")).alias("__text")).mapInArrow(run, schema.schema)
+    return docs.select(*keep, words_text(F.col("text")).alias(free_name(docs, "text"))).mapInArrow(run, schema.schema)
 
 
 @dataclass(frozen=True)
@@ -140,38 +144,63 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def training_labels(labels: DataFrame, label: str = "quality", most: int = FIT_ROWS) -> DataFrame:
+    """(fit_id, label) of 0/1 labels of documents that are not held out, ``most`` of them at most, about.
+
+    Where there are more, those stay whose id's hash is under a bound, so a document keeps its place
+    in the sample whatever the partitions.
+    """
+    known = labels.select(F.col("doc_id").alias("fit_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("fit_id").isNotNull() & ~held_out("fit_id"))
+    n = known.count()
+    return known if n <= most else known.where(F.pmod(F.xxhash64("fit_id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Discriminant:
+    """The model fitted on the training labels' documents; only their texts are looked at.
+
+    A document with several labels counts once for each, and each of several rows of one id.
+    """
+    known = training_labels(labels, label)
+    slim = docs.select(F.col("doc_id").alias("fit_id"), "text")
+    # FIT_ROWS ids at most: a bounded side
+    picked = slim.join(F.broadcast(known), "fit_id").select(F.col("label").alias("fit_label"), "text")
+    return fit(materialize(with_statistics(picked, ("fit_label",)), "statistics"), "fit_label")
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """Columns ``keep``, held_out, score and predicted for every document.
 
-    The model is fitted on all labelled documents that are not held out; score is the probability of
-    label 1, from the text alone, and predicted is 1 where it is at least ``threshold``.  Null and
-    empty texts score as a text without words.  Repeated rows each get a row; a document with
-    several labels counts once for each in the fit.  An empty table gives no rows.
+    The model is fitted on labelled documents that are not held out, FIT_ROWS at most; score is the
+    probability of label 1, from the text alone, and predicted is 1 where it is at least
+    ``threshold``.  Null and empty texts score as a text without words; texts of any length count
+    whole.  Repeated rows each get a row; a null doc_id is scored and not held out.  An empty table
+    gives no rows, and without labels every score is 0.5.  Columns not in ``keep`` are ignored; one
+    of them named held_out, score or predicted is refused.
     """
     require(labels, "doc_id", label)
-    slim = materialize(with_statistics(docs, keep), "statistics")
-    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).alias("label"))
-    model = fit(slim.where(~held_out()).join(known, F.col("doc_id") == F.col("__id")))
+    require(docs, "text", *keep)
+    names = [*keep, "held_out", "score", "predicted"]
+    if len({n.lower() for n in names}) < len(names):
+        raise ValueError(f"columns repeat: {names}")
+    model = train(docs, labels, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.column_stack([batch.column(name).to_numpy(zero_copy_only=False) for name in FEATURES])
-            kept = [batch.column(name) for name in [*keep, "held_out"]]
+            x = np.array([statistics(t.as_py()) for t in batch.column(batch.num_columns - 1)], float).reshape(-1, len(FEATURES))
             s = model.score(x)
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=names)
 
-    schema = slim.select(*keep, held_out().alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
-    return slim.select(*keep, held_out().alias("held_out"), *FEATURES).mapInArrow(run, schema)
+    schema = docs.select(*keep, held_out().alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
+    return docs.select(*keep, held_out().alias("held_out"), words_text(F.col("text")).alias(free_name(docs, "text"))).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier does not reject, with the columns of ``docs``.
 
-    Rows that share a doc_id are decided one by one, by their own text.
+    Rows that share a doc_id are decided one by one, by their own text; null and empty texts as a
+    text without words.  An empty table gives no rows; extra columns are kept.
     """
-    slim = materialize(with_statistics(docs, ("doc_id",)), "statistics")
-    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).alias("label"))
-    model = fit(slim.where(~held_out()).join(known, F.col("doc_id") == F.col("__id")))
+    model = train(docs, labels, label)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
