@@ -90,6 +90,29 @@ def token_spans(text: str, path: str) -> tuple[list[int], np.ndarray, np.ndarray
     return got.ids, spans[:, 0], spans[:, 1]
 
 
+def masked_text(text: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[str]:
+    """The stretches of text that the masked tokens cover, in order, as the offsets say.
+
+    Tokens that share a character, as bytes of one do, cover it once.
+    """
+    s, e = starts[mask], ends[mask]
+    if not len(s):
+        return []
+    reach = np.maximum.accumulate(e)
+    breaks = np.flatnonzero(s[1:] > reach[:-1]) + 1
+    firsts, lasts = np.concatenate([[0], breaks]), np.concatenate([breaks, [len(s)]]) - 1
+    return [text[a:b] for a, b in zip(s[firsts].tolist(), reach[lasts].tolist())]
+
+
+@lru_cache(maxsize=2)
+def splits_at_end(path: str) -> bool:
+    """Whether the tokenizer gives the same ids for turns apart as for turns together, tried on samples."""
+    coder = chat_tokenizer(path)
+    ids = lambda text: coder.encode(text, add_special_tokens=False).ids
+    turns = [render([(role, text)])[0] for role in ("assistant", "user", "", "other role", "o|d") for text in ("", " x", "x ", "\n\n", "é日😀", "</s>", "12", "'s")]
+    return all(ids(a + b) == ids(a) + ids(b) for a in turns for b in turns)
+
+
 def loss_tokens(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
     """A mask over tokens, and for each span the pieces of text that its tokens cover.
 
@@ -124,7 +147,7 @@ class _Digest:
     def add(self, role: str, text: str, path: str) -> None:
         self.pending.append((role, text))
         self.size += len(text)
-        if self.size >= FLUSH_CHARS:
+        if self.size >= FLUSH_CHARS and splits_at_end(path):
             self.flush(path)
 
     def flush(self, path: str) -> None:
@@ -132,10 +155,10 @@ class _Digest:
             return
         text, spans = render(self.pending)
         _, starts, ends = token_spans(text, path)
-        under = [s for (role, _), s in zip(self.pending, spans) if role in LOSS_ROLES]
-        _, covered = loss_tokens(starts, ends, under)
-        for runs in covered:
-            said = unescape("".join(text[a:b] for a, b in runs))
+        mask, _ = loss_tokens(starts, ends, [s for (role, _), s in zip(self.pending, spans) if role in LOSS_ROLES])
+        # what the mask covers, marker and all if it covered one
+        for piece in masked_text(text, starts, ends, mask):
+            said = unescape(piece)
             self.loss_chars += len(said)
             self.loss.update(said.encode("utf-8", "surrogatepass"))
         for role, said in parse(text):
@@ -183,8 +206,11 @@ def digest_conversations(rows: DataFrame, tokenizer_path: str) -> DataFrame:
     """One row of digests for each conversation, read back from the formatted output.
 
     Turns stream in order through each task, so a conversation of any length takes bounded memory:
-    beyond FLUSH_CHARS it is encoded in runs of whole turns, which gives the same tokens because
-    markers are atomic.  Order and nulls are as in format_conversations.
+    beyond FLUSH_CHARS it is encoded in runs of whole turns.  A run ends behind an end marker, where
+    the tokenizer splits first of all, whatever role follows, so ids and mask are those of one
+    encoding; a tokenizer that does not split so (splits_at_end) is given the whole conversation.
+    Order and nulls are as in format_conversations; empty texts have no loss, repeated rows are
+    turns of their own, an empty table gives no rows, extra columns are ignored.
     """
     require(rows, "conv_id", "turn", "role", "text")
 

@@ -438,11 +438,30 @@ def test_markers_and_masks():
         under = [s for (role, _), s in zip(turns, spans) if role == "assistant"]
         ids, starts, ends = chat.token_spans(text, TOKENIZER)
         mask, covered = chat.loss_tokens(starts, ends, under)
+        assert "".join(map(chat.unescape, chat.masked_text(text, starts, ends, mask))) == "".join(t for r, t in turns if r == "assistant")
         assert [chat.unescape("".join(text[a:b] for a, b in runs)) for runs in covered] == [t for r, t in turns if r == "assistant"]
         inside = [any(a < e and s < b for a, b in under if a < b) for s, e in zip(starts, ends)]
         assert mask.tolist() == inside and len(ids) == len(mask)
 
 
+def test_a_mask_that_reaches_a_marker_shows():
+    text, spans = chat.render([("user", "a"), ("assistant", "b c")])
+    _, starts, ends = chat.token_spans(text, TOKENIZER)
+    mask, _ = chat.loss_tokens(starts, ends, spans[1:])
+    assert chat.masked_text(text, starts, ends, mask) == ["b c"]
+    mask[np.flatnonzero(mask)[-1] + 1] = True
+    assert chat.masked_text(text, starts, ends, mask) == ["b c<|end|>"]
+
+
+def test_turns_apart_encode_as_turns_together():
+    assert chat.splits_at_end(TOKENIZER)
+    rng = random.Random(2)
+    pieces = ["<", "|", ">", "\\", " ", "\n", "é", "日", "word", "12", "<|end|>", "<|user|>"]
+    turns = [(rng.choice(["user", "assistant", "critic", "", "o|d"]), "".join(rng.choice(pieces) for _ in range(rng.randrange(9)))) for _ in range(300)]
+    whole = chat.token_spans(chat.render(turns)[0], TOKENIZER)[0]
+    assert whole == [i for t in turns for i in chat.token_spans(chat.render([t])[0], TOKENIZER)[0]]
+
+
 def test_chat_on_odd_rows(spark, monkeypatch):
     rows = [(1, 1, "assistant", None), (1, 0, None, "x"), (1, 1, "assistant", None), (None, 0, "user", "lost"), (2, None, "user", "a"), (2, 0, "assistant", "b" * 50_000)]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, ids string, now int")

@@ -38,12 +38,23 @@ def test_stages(spark, sf_dir):
     assert three.columns == COLUMNS
     chosen, _ = mixing.mix(two)
     rows = three.collect()
+    assert sum(len((r.text or "").split()) for r in rows) <= sum(len((r.text or "").split()) for r in two.collect())
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in chosen.collect())
 
     packed = pack(spark, three, sf_dir).collect()
     assert check_packing(rows, packed) < 0.05
 
 
+def test_a_mix_takes_rows_by_order_and_never_beyond_its_budget(spark):
+    rows = [(i % 40, f"{'w ' * (i % 7 + 1)}t{i % 60}", "en", "ab"[i % 3 == 0], 0) for i in range(400)] + [(1, "alike in all", "en", "a", 0)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    tokens = sum(len(r[1].split()) for r in rows)
+    for budget in (tokens // 3, tokens, 2 * tokens):
+        first, again = ([tuple(r) for r in mixing.apply_mix(d, budget, max_repeat=3.0).collect()] for d in (docs, docs.repartition(5)))
+        assert Counter(first) == Counter(again) and set(first) <= set(rows)
+        assert budget * 0.9 < sum(len(r[1].split()) for r in first) <= budget + 1
+
+
 def test_stages_on_odd_documents(spark, sf_dir):
     docs = odd_documents(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:
