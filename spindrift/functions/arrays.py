@@ -164,3 +164,13 @@ def flattened(df: DataFrame, prefixes: dict[str, str]) -> list[Column]:
     """Fields of struct columns as flat columns, ``prefixes`` giving each struct's prefix; names sorted."""
     found = {f"{p}{f.name}": F.col(f"{c}.{f.name}") for c, p in prefixes.items() for f in df.schema[c].dataType.fields}
     return [found[n].alias(n) for n in sorted(found)]
+
+
+def bit_set(word: Column, bit: int) -> Column:
+    """Whether one bit of a word is set."""
+    return word.bitwiseAND(F.lit(1 << bit)) != 0
+
+
+def bit_field(word: Column, low: int, width: int) -> Column:
+    """``width`` bits of a word from ``low`` on, as a number."""
+    return F.shiftright(word.bitwiseAND(F.lit(((1 << width) - 1) << low)), low)

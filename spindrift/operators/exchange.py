@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.sinks import staged
 
@@ -35,11 +38,38 @@ def repartition_by_key(df: DataFrame, key: str, parts: int, order: Sequence[str]
 def fingerprint(df: DataFrame, by: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(by, rows, digest): a SHA-256 of each destination's rows in order, the same in every run.
 
-    Rows are digested one by one and the digests listed, so a list holds 32 bytes a row.
+    Rows are digested one by one; a destination's digests stream in order through one task, which
+    holds a running hash and no list.  Rows alike in ``order`` are taken by their digests.
     """
+    kind = df.schema[by].dataType.simpleString()
     row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    listed = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], row.alias("d"))))
-    return df.groupBy(by).agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.transform(listed, lambda s: s["d"]), ""), 256).alias("digest"))
+    sorted_ = df.select(by, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], row.alias("__d")).repartition(F.col(by)).sortWithinPartitions(by, *[f"__o{i}" for i in range(len(order))], "__d")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, count, running, started = None, 0, hashlib.sha256(), False
+        out: list[tuple] = []
+        for batch in batches:
+            for dest, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if started and dest != now:
+                    out.append((now, count, running.hexdigest()))
+                    count, running = 0, hashlib.sha256()
+                now, started = dest, True
+                count += 1
+                running.update(digest.encode())
+            if len(out) >= 4096:
+                yield rows_of(out)
+                out = []
+        if started:
+            out.append((now, count, running.hexdigest()))
+        yield rows_of(out)
+
+    def rows_of(out: list[tuple]) -> pa.RecordBatch:
+        names = [by, "rows", "digest"]
+        schema = pa.schema([(by, arrow), ("rows", pa.int64()), ("digest", pa.string())])
+        return pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=schema)
+
+    arrow = to_arrow_type(df.schema[by].dataType)
+    return sorted_.select(by, "__d").mapInArrow(run, f"`{by}` {kind}, rows long, digest string")
 
 
 def producers(src: Column, sources: int, workers: int) -> Column:

@@ -26,6 +26,12 @@ class External:
     load: Callable[[bytes], object]
     evaluate: Callable[[object, pa.Table], pa.Table]
     schema: str
+    #: The digest that a plan records; a payload of another is refused, here and in each task.
+    expected: str | None = None
+
+    def __post_init__(self):
+        if self.expected is not None and self.digest != self.expected:
+            raise ValueError(f"{self.name}: payload {self.digest[:12]} is not the recorded {self.expected[:12]}")
 
     @property
     def digest(self) -> str:
@@ -35,15 +41,21 @@ class External:
     def apply(self, df: DataFrame) -> DataFrame:
         """The rows of ``df`` through the evaluator, batch by batch."""
         shared = df.sparkSession.sparkContext.broadcast(self.payload)
-        load, evaluate = self.load, self.evaluate
+        load, evaluate, name, digest = self.load, self.evaluate, self.name, self.digest
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if hashlib.sha256(shared.value).hexdigest() != digest:
+                raise ValueError(f"{name}: the payload that reached the task is not the one of the plan")
             resource = load(shared.value)
             for batch in batches:
                 yield from evaluate(resource, pa.Table.from_batches([batch])).to_batches()
 
         return df.mapInArrow(run, self.schema)
 
+    def sample(self, table: pa.Table) -> pa.Table:
+        """The evaluator tried on a small table on the driver, before a plan is made of it."""
+        return self.evaluate(self.load(self.payload), table)
+
 
 def retrying(fn: Callable, extra: int) -> Callable:
     """``fn`` tried up to ``extra`` more times in its worker before its error shows."""

@@ -81,3 +81,17 @@ def dense(filled: DataFrame, axes: dict[str, Regular], by: Sequence[str] = ()) -
 def write_json(hists: DataFrame, path: str) -> None:
     """The long table as JSON lines."""
     hists.write.mode("overwrite").json(path)
+
+
+def uhi(hists: DataFrame, axes: dict[str, Regular]) -> DataFrame:
+    """(hist, json): each histogram as one document of the UHI layout, flow bins included."""
+    rows = dense(hists.where(F.col("hist").isin(*axes)), axes)
+    listed = rows.groupBy("hist").agg(F.array_sort(F.collect_list(F.struct("bin", "sumw", "sumw2"))).alias("b"))  # as long as the axis
+    axis = F.create_map(*[x for n, a in axes.items() for x in (F.lit(n), F.struct(F.lit("regular").alias("type"), F.lit(float(a.lo)).alias("lower"), F.lit(float(a.hi)).alias("upper"), F.lit(a.bins).alias("bins"), F.lit(True).alias("underflow"), F.lit(True).alias("overflow"), F.lit(False).alias("circular")))])
+    storage = F.struct(F.lit("weighted").alias("type"), F.transform("b", lambda x: x["sumw"]).alias("values"), F.transform("b", lambda x: x["sumw2"]).alias("variances"))
+    return listed.select("hist", F.to_json(F.struct(F.lit(1).alias("uhi_schema"), F.col("hist").alias("name"), F.array(axis[F.col("hist")]).alias("axes"), storage.alias("storage"))).alias("json"))
+
+
+def write_uhi(hists: DataFrame, axes: dict[str, Regular], path: str) -> None:
+    """One UHI document a line."""
+    uhi(hists, axes).select(F.col("json").alias("value")).write.mode("overwrite").text(path)

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOWS = ("inner", "left", "right", "outer")
 STRATEGIES = ("auto", "broadcast", "shuffle", "sort", "salted")
 #: A side larger than this by its statistics is never broadcast, whoever asks.
 MOST_BROADCAST_BYTES = 256 << 20
+#: Ranges of a key that one list holds.
+MOST_RANGES = 4096
 
 
 def size_bytes(df: DataFrame) -> int:
@@ -80,13 +82,24 @@ def _salted(left: DataFrame, right: DataFrame, on: list[str], how: str, salt: in
 def range_semi_join(rows: DataFrame, ranges: DataFrame, key: str, value: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Rows whose value lies in some closed range of their key.
 
-    Ranges are merged where they overlap and folded to one sorted list a key, so a row meets one
-    list and is never multiplied, whether the list side is broadcast or shuffled.
+    Ranges are merged where they touch, by a running maximum, so those of a key are disjoint; a row
+    is then held against the one of them that starts last before it, found by binary search in the
+    key's sorted starts.  A row meets one list and is never multiplied.  Keys with more ranges than
+    MOST_RANGES are cut into runs of that many, each with the values that it can hold.
     """
-    pieces = F.array_sort(F.collect_list(F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi"))))
-    lists = ranges.where(F.col(lo) <= F.col(hi)).groupBy(key).agg(pieces.alias("__ranges"))
-    inside = F.exists("__ranges", lambda r: (r["lo"] <= F.col(value)) & (F.col(value) <= r["hi"]))
-    return rows.join(lists, key).where(inside).drop("__ranges")
+    good = ranges.where(F.col(lo) <= F.col(hi)).select(F.col(key).alias("__k"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    order = Window.partitionBy("__k").orderBy("lo", "hi")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = F.sum(F.when(before.isNull() | (F.col("lo") > before), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    merged = good.withColumn("__n", opened).groupBy("__k", "__n").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    run = F.floor((F.col("__n") - 1) / MOST_RANGES)
+    lists = merged.groupBy("__k", run.alias("__run")).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("__ranges"), F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))
+    here = (F.col(key) == F.col("__k")) & (F.col("__lo") <= F.col(value)) & (F.col(value) <= F.col("__hi"))
+    # halving the steps: the last range that starts at or before the value
+    steps = F.transform(F.sequence(F.lit(MOST_RANGES.bit_length() - 1), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
+    at = F.aggregate(steps, F.lit(0), lambda place, step: F.when(F.get(F.col("__ranges"), place + step)["lo"] <= F.col(value), place + step).otherwise(place))
+    found = rows.join(lists, here)
+    return found.where(F.get(F.col("__ranges"), at)["hi"] >= F.col(value)).select(*[rows[c] for c in rows.columns])
 
 
 def broadcast_with_tail(build: DataFrame, probe: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extras, nested, relational
+from . import extras, nested, relational, rows
 
-_ALL = {**nested.REGISTRY, **relational.REGISTRY, **extras.REGISTRY}
+_ALL = {**nested.REGISTRY, **relational.REGISTRY, **extras.REGISTRY, **rows.REGISTRY}
 
 
 def queries() -> dict:

@@ -24,10 +24,14 @@ class Result:
 
 
 class RunControl:
-    """RUNNING, PAUSED or CANCELLED, looked at between waves; a cancel holds for one run."""
+    """RUNNING, PAUSED or CANCELLED, looked at between waves; a cancel holds for one run.
 
-    def __init__(self):
+    ``stop_work`` is called by a cancel, to interrupt the wave that runs (see cancel_jobs).
+    """
+
+    def __init__(self, stop_work: Callable[[], object] | None = None):
         self._free, self._cancelled = threading.Event(), False
+        self._stop_work = stop_work
         self._free.set()
 
     @property
@@ -43,6 +47,8 @@ class RunControl:
     def cancel(self) -> None:
         self._cancelled = True
         self._free.set()
+        if self._stop_work is not None:
+            self._stop_work()
 
     def reset(self) -> None:
         self._cancelled = False
@@ -86,12 +92,14 @@ class Stop:
 def pull(next_leaves: Callable[[Progress], list | None], process: Callable[[list], tuple[object, int]], combine: Callable, empty: Callable[[], object], stop: Stop | None = None, control: RunControl | None = None, finalize: Callable | None = None) -> Result:
     """An adaptive run: ask for leaves, run them as one bounded job, fold, until there are none.
 
-    ``process`` runs one Spark job over the leaves and gives (value, entries).  Values are folded in
-    wave order, so ``combine`` should be commutative and associative.  A cancel keeps the value so
-    far; cancelled before the first wave, the result is ``empty()``.
+    ``process`` runs one Spark job over the leaves and gives (value, entries).  Values are folded at
+    the end, in order of each wave's first leaf, whatever the order of the waves.  A cancel gives the
+    fold of the waves that were done; one that it interrupts is left out.  Cancelled before the first
+    wave, the result is ``empty()``.
     """
     stop, control, p = stop or Stop(), control or RunControl(), Progress()
     out, began, why = Result(empty()), time.monotonic(), None
+    done: list[tuple] = []
     try:
         while why is None:
             if not control.passes():
@@ -101,9 +109,14 @@ def pull(next_leaves: Callable[[Progress], list | None], process: Callable[[list
             if not leaves:
                 break
             t = time.monotonic()
-            value, entries = process(leaves)
-            out.value = value if not out.n_partitions else combine(out.value, value)
-            out.n_combines += bool(out.n_partitions)
+            try:
+                value, entries = process(leaves)
+            except Exception:
+                if control.state != "CANCELLED":
+                    raise
+                why = "cancelled"
+                break
+            done.append((leaves[0], value))
             out.n_partitions += len(leaves)
             p.leaves, p.entries = out.n_partitions, p.entries + entries
             p.seconds = time.monotonic() - began
@@ -111,6 +124,12 @@ def pull(next_leaves: Callable[[Progress], list | None], process: Callable[[list
             why = stop.reason(p)
     finally:
         control.reset()
+    done.sort(key=lambda d: d[0])
+    if done:
+        out.value = done[0][1]
+        for _, value in done[1:]:
+            out.value = combine(out.value, value)
+        out.n_combines = len(done) - 1
     out.stopped = why
     if finalize is not None:
         out.value = finalize(out.value)

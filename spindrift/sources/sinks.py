@@ -11,14 +11,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_parts(df: DataFrame, path: str, by: Sequence[str], sums: Sequence[Column]) -> DataFrame:
+def write_parts(df: DataFrame, path: str, by: Sequence[str], sums: Sequence[Column], parts: DataFrame | None = None) -> DataFrame:
     """Parquet parts by ``by`` under ``path``/parts, and each part's own sums under ``path``/summary.
 
-    The summary has a row for every part, with ``rows``; it is the sidecar of the part's files.
+    ``df`` is computed once, by the write; the sums are read from the columns of what was written.
+    The summary has a row for every part, with ``rows`` and the part's schema; it is the sidecar of
+    the part's files.  Of ``parts``, keys that must be there, those without rows get zeros.
     """
     df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/parts")
-    df.groupBy(*by).agg(F.count("*").alias("rows"), *sums).write.mode("overwrite").parquet(f"{path}/summary")
-    return df.sparkSession.read.parquet(f"{path}/summary")
+    spark = df.sparkSession
+    written = spark.read.schema(df.schema).parquet(f"{path}/parts")
+    rest = [f for f in df.schema.fields if f.name not in by]
+    summary = written.groupBy(*by).agg(F.count("*").alias("rows"), *sums)
+    if parts is not None:
+        empty = parts.select(*by).distinct().join(summary.select(*by), list(by), "left_anti")
+        zeros = [F.lit(0).cast(f.dataType).alias(f.name) if f.dataType.typeName() in ("long", "integer", "double", "float") else F.lit(None).cast(f.dataType).alias(f.name) for f in summary.schema.fields if f.name not in by]
+        summary = summary.unionByName(empty.select(*by, *zeros))
+    summary = summary.withColumn("part_schema", F.lit(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest)))
+    summary.write.mode("overwrite").parquet(f"{path}/summary")
+    return spark.read.parquet(f"{path}/summary")
 
 
 def parts_and_totals(df: DataFrame, dataset: str, part: str, sums: Sequence[Column]) -> DataFrame:
@@ -35,10 +46,14 @@ def write_result(df: DataFrame, path: str) -> DataFrame:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Where the session names no folder, as on a single machine, a temporary one is set.
+    Where the session names no folder, a local master is given a temporary one; on a cluster, where
+    executors would not see it, an error says what to set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
