@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,11 +84,21 @@ def chat_tokenizer(path: str):
     return coder
 
 
+def encode(text: str, path: str):
+    """The encoding of a whole text."""
+    return chat_tokenizer(path).encode(text, add_special_tokens=False)
+
+
 def token_spans(text: str, path: str) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Ids of the text, encoded once, and the start and end offset of each."""
-    got = chat_tokenizer(path).encode(text, add_special_tokens=False)
-    spans = np.array(got.offsets, np.int64).reshape(-1, 2)
-    return got.ids, spans[:, 0], spans[:, 1]
+    got = encode(text, path)
+    return got.ids, *offsets(got)
+
+
+def offsets(got) -> tuple[np.ndarray, np.ndarray]:
+    """The start and the end of each token of an encoding."""
+    spans = np.fromiter(chain.from_iterable(got.offsets), np.int64, 2 * len(got))
+    return spans[::2].copy(), spans[1::2].copy()
 
 
 def masked_text(text: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[str]:
@@ -113,17 +124,25 @@ def splits_at_end(path: str) -> bool:
     return all(ids(a + b) == ids(a) + ids(b) for a in turns for b in turns)
 
 
-def loss_tokens(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-    """A mask over tokens, and for each span the pieces of text that its tokens cover.
+def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """A mask over tokens, and for each span its first token and the one behind its last.
 
-    Tokens are sorted by offset; a span's tokens lie between the first that ends behind its start
-    and the last that starts before its end.
+    Tokens and spans are sorted by offset; a span's tokens lie between the first that ends behind
+    its start and the last that starts before its end.
     """
+    cuts = np.array(spans, np.int64).reshape(-1, 2)
+    places = np.stack([np.searchsorted(ends, cuts[:, 0], "right"), np.searchsorted(starts, cuts[:, 1], "left")], axis=1)
     mask = np.zeros(len(starts), bool)
-    covered = []
-    for a, b in spans:
-        lo, hi = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
+    for lo, hi in places.tolist():
         mask[lo:hi] = True
+    return mask, places
+
+
+def loss_tokens(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """The loss mask over tokens, and for each span the pieces of text that its tokens cover."""
+    mask, places = loss_mask(starts, ends, spans)
+    covered = []
+    for (a, b), (lo, hi) in zip(spans, places.tolist()):
         runs: list[tuple[int, int]] = []
         if hi > lo:
             s, e = np.maximum(starts[lo:hi], a), np.minimum(ends[lo:hi], b)
@@ -154,8 +173,8 @@ class _Digest:
         if not self.pending:
             return
         text, spans = render(self.pending)
-        _, starts, ends = token_spans(text, path)
-        mask, _ = loss_tokens(starts, ends, [s for (role, _), s in zip(self.pending, spans) if role in LOSS_ROLES])
+        starts, ends = offsets(encode(text, path))
+        mask, _ = loss_mask(starts, ends, [s for (role, _), s in zip(self.pending, spans) if role in LOSS_ROLES])
         # what the mask covers, marker and all if it covered one
         for piece in masked_text(text, starts, ends, mask):
             said = unescape(piece)
@@ -192,7 +211,7 @@ def format_conversations(rows: DataFrame, tokenizer_path: str) -> DataFrame:
                 pairs = [(t["role"], t["text"]) for t in turns]
                 text, spans = render(pairs)
                 ids, starts, ends = token_spans(text, tokenizer_path)
-                mask, _ = loss_tokens(starts, ends, [s for (role, _), s in zip(pairs, spans) if role in LOSS_ROLES])
+                mask, _ = loss_mask(starts, ends, [s for (role, _), s in zip(pairs, spans) if role in LOSS_ROLES])
                 for column, value in zip(out, (conv, text, ids, mask.tolist())):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.bool_()))], names=["conv_id", "text", "ids", "loss_mask"])
