@@ -40,10 +40,10 @@ SHARD_ROWS = 8_192
 FAN = 512
 ROWS_A_LEAF = 64
 #: Small random leaves of a shard from which its lists start.
-SEED_TREES, SEED_ROWS = 3, 64
+SEED_TREES, SEED_ROWS = 5, 64
 #: Rounds at most within a shard and across shards; a round that changes a smaller share is the last.
 ROUNDS, WIDE_ROUNDS = 4, 3
-LEAST_CHANGE = 0.01
+LEAST_CHANGE = 0.002
 #: Points of the audit, searches that it may ask for, and the recall below which the result is refused.
 AUDIT_ROWS = 1_024
 MOST_SEARCHES = 4
