@@ -6,21 +6,25 @@ pages that stand outside an article, or on pages without an article element, are
 one token stream.  Its suffix array and the common prefixes of neighbours in it give the long
 substrings that stand on distinct pages; a block that they cover goes, unique runs stay.  Where
 most of a page itself repeats on a few others, as near copies of an article do, only what stands on
-still more pages counts.  A block within an article goes only when it stands on nearly all pages of
-a host, as a site-wide notice does: an article that two pages share is still an article.
-
-A first pass over the pages keeps hashes of blocks within articles, from which site-wide ones are
-counted by host.  A page with nothing outside an article is then settled where it is read; only the
-others are brought together by host.  A large host's are dealt into shards, one suffix array each,
-so no task holds a host.  Shards tell each other on how many of their pages each of their runs
-stands, so counts are of the whole host, whatever the size of a shard.
+still more pages counts.  A block within an article goes only when runs that stand on nearly all
+pages of a host cover it, as they do a site-wide notice, also one with a date or a number of its
+own: an article that two pages share is still an article.  Such a notice goes outside an article too,
+on however few pages it stands there.
+
+All pages with all their blocks are first brought together by host, and suffix arrays over them give
+the site-wide runs.  A large host's pages are dealt into shards, one suffix array each, so no task
+holds a host.  A run on that share of a host's pages is on that share of some shard's, so shards
+report only such; where the reports leave open whether a run reaches the share, it is counted on all
+pages.  A second pass over the pages drops what site-wide runs cover and settles pages with nothing
+outside an article; the others are brought together by host, and their shards tell each other on how
+many of their pages each of their runs stands.  So counts are of the whole host, whatever the size
+of a shard.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
@@ -37,7 +41,7 @@ MIN_RUN = 6
 COVERED = 0.8
 #: Share of a page that repeats on as many pages as its near copies are.
 NEAR = 0.6
-#: A block within articles is site-wide from so many pages and this share of the pages.
+#: A run is site-wide from so many pages and this share of the pages.
 WIDE_PAGES, WIDE_SHARE = 10, 0.8
 #: Characters of text of one host that a shard takes; the result does not depend on it.
 SHARD_CHARS = 1_000_000
@@ -271,15 +275,80 @@ def repeated_runs(tokens: np.ndarray, page_of: np.ndarray, min_run: int = MIN_RU
 
 Blocks = list[tuple[bool, str]]
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: More than the rounding of a share of pages, less than a page.
+_SLACK = 1e-3
 
 
-def block_hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text, 1) - (1 << 63)
+def run_hashes(tokens: np.ndarray, words: dict[str, int], ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the MIN_RUN tokens from each token on; 0 where a page ends before that.
+
+    ``words`` numbers the words from 1 on in its own order; ``ends`` says for each token where its page ends.
+    """
+    known = np.array([1, *(xxhash.xxh64_intdigest(w) for w in words)], np.uint64)
+    each = known[np.maximum(tokens, 0)]
+    n, out = len(each), np.zeros(len(each), np.uint64)
+    for k in range(min(MIN_RUN, n)):
+        out[: n - k] = (out[: n - k] + each[k:]) * _FACTOR
+    out[np.arange(n) + MIN_RUN >= ends] = 0
+    return out.view(np.int64)
+
+
+def counted_runs(classes: np.ndarray, page_of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, pages): the hash of each run and the distinct pages that it stands on."""
+    support = run_support(classes, page_of)
+    _, at = np.unique(classes, return_index=True)
+    at = at[hashes[at] != 0]
+    return hashes[at], support[classes[at]]
 
 
-def site_wide(hashes: Iterable[int], pages: dict[int, int], total: int) -> set[int]:
-    """Of block hashes those that stand on nearly all of a host's ``total`` distinct pages."""
-    return {h for h in hashes if pages[h] >= max(WIDE_PAGES, WIDE_SHARE * total)}
+def site_stream(page: list[str], words: dict[str, int]) -> tuple[list[int], list[tuple[int, int]]]:
+    """Tokens of a page's blocks, and the place of each block in them.
+
+    Zeros before and after a block, more of them after a short one, make a run of every whole block.
+    """
+    tokens: list[int] = []
+    spans = []
+    for text in page:
+        tokens.append(0)
+        start = len(tokens)
+        tokens += [words.setdefault(w, len(words) + 1) for w in text.split(" ")]
+        spans.append((start, len(tokens)))
+        tokens += [0] * max(1, MIN_RUN - 1 - (len(tokens) - start))
+    return tokens, spans
+
+
+def site_runs(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(run, pages) of the runs within the given pages' blocks, from the pages' suffix array."""
+    words: dict[str, int] = {}
+    tokens: list[int] = []
+    ends = []
+    for p, page in enumerate(pages):
+        tokens += site_stream(page, words)[0]
+        tokens.append(-1 - p)
+        ends.append(len(tokens))
+    sizes = np.diff([0, *ends])
+    stream = np.array(tokens, np.int64)
+    return counted_runs(run_classes(stream), np.repeat(np.arange(len(ends)), sizes), run_hashes(stream, words, np.repeat(ends, sizes)))
+
+
+def site_wide(page: Blocks, wide: np.ndarray) -> list[bool]:
+    """Whether each block of a page goes as a site-wide one; ``wide`` are the host's site-wide runs.
+
+    It goes when they cover it.  Where most of the page's article is site-wide, it is a near copy of
+    an article on nearly all pages, and a block with words of its own stays.  Outside an article a
+    block goes only if it holds a whole run and most of the page is not site-wide.
+    """
+    if not len(wide) or not page:
+        return [False] * len(page)
+    words: dict[str, int] = {}
+    tokens, spans = site_stream([text for _, text in page], words)
+    stream = np.array([*tokens, -1], np.int64)
+    hashes = run_hashes(stream, words, np.full(len(stream), len(stream)))
+    covered = spread_over(1 + (np.isin(hashes, wide) & (hashes != 0))) > 1
+    within = [covered[a:b] for (inside, _), (a, b) in zip(page, spans) if inside]
+    near = bool(within) and np.concatenate(within).mean() >= NEAR
+    most = np.concatenate([covered[a:b] for a, b in spans]).mean() >= NEAR
+    return [bool(covered[a:b].mean() >= (1 if near else COVERED)) if inside else bool(covered[a:b].mean() >= COVERED and b - a >= MIN_RUN and not most) for (inside, _), (a, b) in zip(page, spans)]
 
 
 class HostShard:
@@ -313,25 +382,14 @@ class HostShard:
         self.ends = ends
 
     def run_hashes(self) -> np.ndarray:
-        """A 64-bit hash of the MIN_RUN tokens from each token on; 0 where a page ends before that."""
-        known = np.array([1, *(xxhash.xxh64_intdigest(w) for w in self.words)], np.uint64)
-        each = known[np.maximum(self.tokens, 0)]
-        n, out = len(each), np.zeros(len(each), np.uint64)
-        for k in range(min(MIN_RUN, n)):
-            out[: n - k] = (out[: n - k] + each[k:]) * _FACTOR
-        ends = np.array(self.ends)[self.page_of]
-        out[np.arange(n) + MIN_RUN >= ends] = 0
-        return out.view(np.int64)
+        return run_hashes(self.tokens, self.words, np.array(self.ends)[self.page_of])
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """(run, pages) of this shard's runs."""
-        support, hashes = run_support(self.classes, self.page_of), self.run_hashes()
-        _, at = np.unique(self.classes, return_index=True)
-        at = at[hashes[at] != 0]
-        return hashes[at], support[self.classes[at]]
+        return counted_runs(self.classes, self.page_of, self.run_hashes())
 
-    def texts(self, wide: set[int], runs: np.ndarray | None = None, sums: np.ndarray | None = None) -> list[str]:
-        """The main text of each page; ``wide`` are hashes of blocks that go wherever they stand.
+    def texts(self, wide: np.ndarray, runs: np.ndarray | None = None, sums: np.ndarray | None = None) -> list[str]:
+        """The main text of each page; ``wide`` are the host's site-wide runs.
 
         ``runs`` and ``sums`` say on how many pages of all shards a run stands, where that is more
         than on this shard's.
@@ -352,9 +410,8 @@ class HostShard:
                 flat = np.sort(np.concatenate(own))
                 level = flat[min(len(flat) - 1, int((1 - NEAR) * len(flat)))]
             texts = []
-            for (inside, text), s in zip(page, spans):
-                gone = block_hash(text) in wide if inside else (spread[s[0] : s[1]] > level).mean() >= COVERED
-                if not gone:
+            for (inside, text), s, covered in zip(page, spans, site_wide(page, wide)):
+                if not covered and (inside or (spread[s[0] : s[1]] > level).mean() < COVERED):
                     texts.append(text)
             kept.append("\n".join(texts))
         return [kept[w] for w in self.which]
@@ -363,8 +420,8 @@ class HostShard:
 def main_texts(pages: list[Blocks]) -> list[str]:
     """The main text of each page of a host, given the blocks of all."""
     shard = HostShard(pages)
-    on = Counter(h for page in shard.pages for h in {block_hash(text) for inside, text in page if inside})
-    return shard.texts(site_wide(on, on, len(shard.pages)))
+    runs, n = site_runs([[text for _, text in page] for page in shard.pages])
+    return shard.texts(runs[n >= max(WIDE_PAGES, WIDE_SHARE * len(shard.pages))])
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
@@ -380,27 +437,13 @@ def extract(pages: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     A null or empty html, and a page without main text, give an empty text.  Pages alike in all
     blocks count as one page when repeats are sought.  Null and host-less urls form a host of their
     own.  Repeated rows each get a row; extra columns are ignored; an empty table gives no rows.  A
-    host with more text than ``shard_chars`` on pages that must be brought together is dealt into
-    shards by the pages' contents, so pages alike share one; that bounds a task and changes no text.
+    host with more html, or text on pages with blocks outside an article, than ``shard_chars`` is dealt
+    into shards by the pages' contents, so pages alike share one; that bounds a task and changes no text.
     """
     require(pages, "page_id", "url", "html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("h"))
 
-    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [page_blocks(html.as_py()) for html in batch.column(1)]
-            keys = [xxhash.xxh64_intdigest("\n".join(f"{'ab'[inside]}{text}" for inside, text in blocks)) - (1 << 63) for blocks in found]
-            within = [sorted({block_hash(text) for inside, text in blocks if inside}) for blocks in found]
-            outside = [any(not inside for inside, _ in blocks) for blocks in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(within, pa.list_(pa.int64())), pa.array(outside, pa.bool_())], names=["h", "key", "within", "outside"])
-
-    seen = materialize(rows.select("h", "html").mapInArrow(facts, "h string, key long, within array<long>, outside boolean"), "facts")
-    distinct = seen.dropDuplicates(["h", "key"])
-    on = distinct.select("h", F.explode("within").alias("block")).groupBy("h", "block").agg(F.count("*").alias("on")).where(F.col("on") >= WIDE_PAGES)
-    total = distinct.groupBy("h").agg(F.count("*").alias("total")).where(F.col("total") >= WIDE_PAGES)
-    wide = materialize(on.join(total, "h").where(F.col("on") >= WIDE_SHARE * F.col("total")).groupBy("h").agg(F.collect_list("block").alias("wide")), "wide")
-    some_outside = not seen.where("outside").isEmpty()
-    release(seen)
+    wide, some_outside = _site_wide(rows, shard_chars)
     if wide.isEmpty():
         told = rows.withColumn("wide", F.array().cast("array<long>"))
     else:
@@ -413,9 +456,8 @@ def extract(pages: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
             for html, gone in zip(batch.column(2), batch.column(4)):
                 blocks = page_blocks(html.as_py())
                 if all(inside for inside, _ in blocks):
-                    hashes = set(gone.as_py())
                     flags.append(None)
-                    texts.append("\n".join(t for _, t in blocks if not hashes or block_hash(t) not in hashes))
+                    texts.append("\n".join(t for (_, t), covered in zip(blocks, site_wide(blocks, gone.values.to_numpy())) if not covered))
                 else:
                     flags.append("".join("ab"[inside] for inside, _ in blocks))
                     texts.append("\n".join(t for _, t in blocks))
@@ -429,6 +471,76 @@ def extract(pages: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     return chosen.unionAll(_by_host(parsed.where("flags is not null"), shard_chars)) if some_outside else chosen
 
 
+def _key(blocks: Blocks) -> int:
+    """Hash of all of a page's blocks."""
+    return xxhash.xxh64_intdigest("\n".join(f"{'ab'[inside]}{text}" for inside, text in blocks)) - (1 << 63)
+
+
+def _site_wide(rows: DataFrame, shard_chars: int) -> tuple[DataFrame, bool]:
+    """(h, wide) with each host's site-wide runs, and whether any block stands outside an article."""
+    sizes = rows.groupBy("h").agg(F.sum(F.length("html")).alias("chars")).where(F.col("chars") > shard_chars)
+    shards = materialize(sizes.select("h", F.ceil(F.col("chars") / shard_chars).cast("int").alias("shards")), "hosts")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()  # pages alike share a shard and count once
+        for batch in batches:
+            hosts, keys, outside, texts = [], [], [], []
+            for h, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+                blocks = page_blocks(html.as_py())
+                key = _key(blocks)
+                if (h, key) in met:
+                    continue
+                met.add((h, key))
+                hosts.append(h)
+                keys.append(key)
+                outside.append(not all(inside for inside, _ in blocks))
+                texts.append("\n".join(text for _, text in blocks))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(outside, pa.bool_()), pa.array(texts, pa.string())], names=["h", "key", "outside", "texts"])
+
+    parsed = rows.select("h", "html").mapInArrow(parse, "h string, key long, outside boolean, texts string")
+    dealt = parsed.join(shards, "h", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("shard", F.pmod("key", F.col("shards")).cast("int"))
+
+    def report(key: tuple, group: pa.Table) -> pa.Table:
+        pages = dict(zip(group.column("key").to_pylist(), group.column("texts").to_pylist()))
+        total, outside = len(pages), any(group.column("outside").to_pylist())
+        runs, n = site_runs([texts.split("\n") if texts else [] for texts in pages.values()])
+        least = max(WIDE_PAGES, WIDE_SHARE * total) if group.column("shards")[0].as_py() == 1 else WIDE_SHARE * total - _SLACK
+        runs, n = runs[n >= least], n[n >= least]
+        size = 1 + len(runs)  # the first row is for the shard itself
+        return pa.table({"h": pa.array([key[0].as_py()] * size, pa.string()), "run": pa.array([None, *runs.tolist()], pa.int64()), "n": pa.array([0, *n.tolist()], pa.int64()), "total": pa.array([total] * size, pa.int64()), "outside": pa.array([outside] * size, pa.bool_())})
+
+    dealt = dealt.repartition("h", "shard")  # after a join on h Spark would leave a host's shards in one task
+    told = materialize(dealt.groupBy("h", "shard").applyInArrow(lambda k, g: report(k, g), "h string, run long, n long, total long, outside boolean"), "reports")
+    release(shards)
+    some_outside = not told.where("run is null and outside").isEmpty()
+    needs = told.where("run is null").groupBy("h").agg(F.sum("total").alias("pages")).where(F.col("pages") >= WIDE_PAGES)
+    needs = needs.withColumn("need", F.greatest(F.lit(float(WIDE_PAGES)), WIDE_SHARE * F.col("pages")))
+    sums = told.where("run is not null").groupBy("h", "run").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).join(needs, "h")
+    # the shards that did not report a run hold it on less than the share of their pages
+    sums = sums.where(F.col("n") + WIDE_SHARE * (F.col("pages") - F.col("total")) >= F.col("need") - _SLACK)
+    sums = materialize(sums.select("h", "run", "need", (F.col("n") >= F.col("need")).alias("enough")), "sums")
+    release(told)
+    runs = sums.where("enough").select("h", "run")
+    open_ = sums.where("not enough").groupBy("h").agg(F.collect_list("run").alias("runs"), F.first("need").alias("need"))
+    if not open_.isEmpty():
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, found = [], []
+                for html, sought in zip(batch.column(1), batch.column(2)):
+                    blocks = page_blocks(html.as_py())
+                    keys.append(_key(blocks))
+                    found.append(np.intersect1d(site_runs([[text for _, text in blocks]])[0], sought.values.to_numpy()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64())), batch.column(3)], names=["h", "key", "runs", "need"])
+
+        seen = rows.select("h", "html").join(open_, "h").mapInArrow(find, "h string, key long, runs array<long>, need double").dropDuplicates(["h", "key"])
+        on = seen.select("h", "need", F.explode("runs").alias("run")).groupBy("h", "run").agg(F.count("*").alias("on"), F.first("need").alias("need"))
+        runs = runs.unionAll(on.where("on >= need").select("h", "run"))
+    wide = materialize(runs.groupBy("h").agg(F.collect_list("run").alias("wide")), "wide")
+    release(sums)
+    return wide, some_outside
+
+
 def _by_host(parsed: DataFrame, shard_chars: int) -> DataFrame:
     """EXTRACTED of pages that hold blocks outside an article."""
     sizes = parsed.groupBy("h").agg(F.sum(F.length("texts")).alias("chars"))
@@ -442,7 +554,7 @@ def _by_host(parsed: DataFrame, shard_chars: int) -> DataFrame:
     def choose(group: pa.Table, runs: np.ndarray | None = None, sums: np.ndarray | None = None) -> pa.Table:
         if not group.num_rows:
             return pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "text": pa.array([], pa.string()), "n_chars": pa.array([], pa.int64())})
-        texts = HostShard(_pages(group)).texts(set(group.column("wide")[0].as_py()), runs, sums)
+        texts = HostShard(_pages(group)).texts(group.column("wide")[0].values.to_numpy(), runs, sums)
         return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
     key = ("h", "shard")

@@ -133,6 +133,48 @@ def test_repeats_are_counted_over_all_shards_of_a_host(spark):
     assert small == large and not any("terms of use" in t for t in large.values())
 
 
+def test_site_wide_runs_within_articles_are_of_all_pages_of_a_host(spark):
+    own = lambda i: f"own words of page {i} " + " ".join(f"q{i}w{k}" for k in range(20))
+    dated = lambda i: f"page {i} of our archive: please read the terms of use before you share this page with anyone else"
+    most, fewer = "these words of the editors stand on four fifths of the pages", "those words of the printers stand on one page less than that"
+    rows, expected = [], {}
+    for i in range(30):
+        blocks = [own(i), "Share this", dated(i), *([most] if i < 24 else []), *([fewer] if i < 23 else [])]
+        expected[i] = "\n".join([own(i), *([fewer] if i < 23 else [])])
+        rows.append((i, f"http://n.example/{i}", "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"))
+    rows += [(100 + i, f"http://n.example/copy/{i}", rows[29][2]) for i in range(20)]  # copies count once
+    expected |= {100 + i: expected[29] for i in range(20)}
+    pages = pages_of(spark, rows).repartition(3)
+    for size in (300, 700, 3000, 1_000_000):
+        assert {r.page_id: r.text for r in html_text.extract(pages, shard_chars=size).collect()} == expected
+
+
+def test_near_copies_of_an_article_on_all_pages_keep_their_own_words():
+    story = "Story told again " + " ".join(f"s{k}" for k in range(40))
+    pages = [[(True, f"{story} in edition {i}e{i}"), (True, f"{i}d{i} of May")] for i in range(12)]
+    assert html_text.main_texts(pages) == ["\n".join(t for _, t in page) for page in pages]
+
+
+def test_a_notice_within_articles_goes_beside_them_too():
+    notice = "please read the terms of use before you share this page with anyone else"
+    own = lambda i: f"own words of page {i} " + " ".join(f"q{i}w{k}" for k in range(30))
+    pages = [[(True, own(i)), (True, notice)] for i in range(12)] + [[(False, own(12)), (False, notice)]]
+    assert html_text.main_texts(pages) == [own(i) for i in range(13)]
+
+
+def test_site_runs_against_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        pages = [[" ".join(f"w{k}" for k in rng.integers(0, 2, rng.integers(1, 12))) for _ in range(rng.integers(0, 5))] for _ in range(rng.integers(1, 5))]
+        on = defaultdict(set)
+        for p, page in enumerate(pages):
+            tokens = [t for text in page for t in ["", *text.split(" "), *[""] * max(1, html_text.MIN_RUN - 1 - len(text.split(" ")))]]
+            for i in range(len(tokens) - html_text.MIN_RUN + 1):
+                on[tuple(tokens[i : i + html_text.MIN_RUN])].add(p)
+        runs, n = html_text.site_runs(pages)
+        assert sorted(n.tolist()) == sorted(map(len, on.values())) and len(set(runs.tolist())) == len(runs)
+
+
 def test_hostile_markup_takes_linear_time():
     n = 20_000
     for page in ("<b>" * n + "</i>" * n, "<p><div>" + "<b>" * n + "<hr>" * n, "<i>" + "<b>" * n + "</i>" * n, '<a "' * n, "<a '\"" * n, "<b>" * n + "<li>" * n, "<script>" * n, "<" * 4 * n):
